@@ -6,10 +6,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import load
-from . import reading_level, splitting
+from . import pairs, reading_level, splitting
 from .text import chunk_texts, source_key
 
 
+def pair_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of the cases, and claims with the query of their case."""
+    cases = load(spark, sf_dir, "citation_audit_v1_queries")
+    claims = load(spark, sf_dir, "audited_claims").select("claim_id", "case_id", "text").dropDuplicates()
+    asked = cases.groupBy("case_id").agg(F.max("query").alias("query"))
+    return cases.select(F.lit("case").alias("record_kind"), F.col("case_id").alias("record_id"), "query", "answer").unionByName(
+        claims.join(asked, "case_id", "left").select(
+            F.lit("claim").alias("record_kind"), F.col("claim_id").alias("record_id"), "query", F.col("text").alias("answer")))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.broken_pairs(pair_records(spark, sf_dir))
+
+
+def p3_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p3_found(spark, sf_dir).groupBy("record_kind", "defect").agg(F.count("*").alias("n_records"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = load(spark, sf_dir, "retrieval_hits")
     return splitting.oversized(chunk_texts(hits.where(F.length("text") > 1600)))
@@ -34,7 +52,7 @@ def p8_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading_level.profile(p8_found(spark, sf_dir), load(spark, sf_dir, "documents"), source_key(F.col("source")))
 
 
-QUERIES = {"p5_found": p5_found, "p5_pieces": p5_pieces, "p8_found": p8_found, "p8_profile": p8_profile}
+QUERIES = {"p3_found": p3_found, "p3_summary": p3_summary, "p5_found": p5_found, "p5_pieces": p5_pieces, "p8_found": p8_found, "p8_profile": p8_profile}
 
 ORACLE = {
     "p5_found": r"""

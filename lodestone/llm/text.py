@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 FUNCTION_WORDS = {
     "en": "the of and to in is that for with as on are this be by it from which at an or not was can we has its than been their does how what why who where when".split(),
     "de": "der die das und ist nicht mit ein eine einen einem einer auf für von den dem des im zu sich wird werden als auch davon wie wir dass durch nach wurden wurde kann welche warum wozu hat haben".split(),
-    "fr": "le la les des et est que pour dans une du sur avec par qui ne pas ce cette aux sont plus nous au été quelles quels comment pourquoi quel quelle mieux se il elle tandis où".split(),
-    "es": "el los las y es que para con una del por se en un al como más no lo su fue son qué cómo cuánto sin mejor mientras debido cuáles dónde este esta".split(),
+    "fr": "le la les des de et est que pour dans une un du sur avec par qui ne pas ce cette aux sont plus nous au à été quelles quels comment pourquoi quel quelle mieux se il elle tandis où".split(),
+    "es": "el la los las y es de que para con una un del por se en al a como más no lo su fue son qué cómo cuánto sin mejor mientras debido cuáles dónde esto este esta todo ajustó tiene".split(),
 }
 #: Han characters, as a Java regex class body.
 HAN = r"㐀-䶿一-鿿豈-﫿"
@@ -31,18 +31,26 @@ def source_key(c: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(c)), r"[\s-]+", "_")
 
 
-def language(c: Column, least: int = 2) -> Column:
+def language_marks(c: Column) -> Column:
+    """What :func:`language` needs of a text: an array of the number of function
+    words per language, then of Han characters, then of all characters."""
+    t = F.lower(c)
+    counts = [F.regexp_count(t, F.lit(r"(?<![\p{L}\p{N}])(?:" + "|".join(v) + r")(?![\p{L}\p{N}])")) for v in FUNCTION_WORDS.values()]
+    han = F.when(c.rlike(f"[{HAN}]"), F.length(F.regexp_replace(c, f"[^{HAN}]", ""))).otherwise(0)
+    return F.array(*counts, han, F.length(c))
+
+
+def language(marks: Column, least: int = 2) -> Column:
     """Language of a short text: zh by its Han characters, else the language whose
     function words occur most often, at least ``least`` times and more than in
-    any other; null where that is not clear."""
-    w = words(c)
-    hits = {k: F.size(F.filter(w, lambda x, v=v: x.isin(v))) for k, v in FUNCTION_WORDS.items()}
-    han = F.length(F.regexp_replace(c, f"[^{HAN}]", ""))
-    best = F.array_max(F.array(*[F.struct(n.alias("n"), F.lit(k).alias("lang")) for k, n in hits.items()]))
-    tied = sum((n == best["n"]).cast("int") for n in hits.values()) > 1
-    return F.when(c.isNull(), None).when(han * 3 >= F.length(c) - han, F.when(han > 1, "zh")).when(
-        (best["n"] >= least) & ~tied, best["lang"]
-    )
+    any other; null where that is not clear.  ``marks`` is a column that holds
+    :func:`language_marks`, so that the text is searched once."""
+    n = [marks[k] for k in range(len(FUNCTION_WORDS))]
+    han, size = marks[len(n)], marks[len(n) + 1]
+    best = F.greatest(*n)
+    tied = sum((x == best).cast("int") for x in n) > 1
+    name = F.coalesce(*[F.when(x == best, k) for x, k in zip(n, FUNCTION_WORDS)])
+    return F.when(han * 3 >= size - han, F.when(han > 1, "zh")).when((best >= least) & ~tied, name)
 
 
 def chunk_texts(hits: DataFrame, *extra: str) -> DataFrame:
