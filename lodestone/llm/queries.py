@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import written
 from ..tables import load
-from . import pairs, reading_level, splitting
+from . import mixing, pairs, reading_level, splitting
 from .text import chunk_texts, source_key
 
 
@@ -39,6 +40,15 @@ def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({c: F.array_join(c, ",") for c in ("source_block_ids", "overlap_source_block_ids")})
 
 
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = mixing.token_counts(load(spark, sf_dir, "documents"))
+    return mixing.mix(written(counted, "mix-tokens"), load(spark, sf_dir, "source_targets"))
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.shares(p7_mix(spark, sf_dir), load(spark, sf_dir, "source_targets"))
+
+
 def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     return reading_level.levels(docs, reading_level.fit(docs, load(spark, sf_dir, "level_labels")))
@@ -52,7 +62,7 @@ def p8_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading_level.profile(p8_found(spark, sf_dir), load(spark, sf_dir, "documents"), source_key(F.col("source")))
 
 
-QUERIES = {"p3_found": p3_found, "p3_summary": p3_summary, "p5_found": p5_found, "p5_pieces": p5_pieces, "p8_found": p8_found, "p8_profile": p8_profile}
+QUERIES = {"p3_found": p3_found, "p3_summary": p3_summary, "p5_found": p5_found, "p5_pieces": p5_pieces, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_profile": p8_profile}
 
 ORACLE = {
     "p5_found": r"""
