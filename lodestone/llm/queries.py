@@ -7,10 +7,24 @@ from pyspark.sql import functions as F
 
 from ..session import written
 from ..tables import load
-from . import mixing, pairs, reading_level, splitting
+from . import mixing, near_duplicates, pairs, reading_level, splitting
 from .text import chunk_texts, source_key
 
 
+def _near(spark: SparkSession, sf_dir: str):
+    hits = load(spark, sf_dir, "retrieval_hits")
+    return near_duplicates.near_duplicates(hits.select(F.col("chunk_id").alias("id"), "text"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs_ = near_duplicates.all_pairs(*_near(spark, sf_dir))
+    return pairs_.select(F.col("id_a").alias("chunk_id_a"), F.col("id_b").alias("chunk_id_b"))
+
+
+def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.classes(*_near(spark, sf_dir)).withColumnRenamed("id", "chunk_id")
+
+
 def pair_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers of the cases, and claims with the query of their case."""
     cases = load(spark, sf_dir, "citation_audit_v1_queries")
@@ -62,7 +76,7 @@ def p8_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading_level.profile(p8_found(spark, sf_dir), load(spark, sf_dir, "documents"), source_key(F.col("source")))
 
 
-QUERIES = {"p3_found": p3_found, "p3_summary": p3_summary, "p5_found": p5_found, "p5_pieces": p5_pieces, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_profile": p8_profile}
+QUERIES = {"p2_found": p2_found, "p2_classes": p2_classes, "p3_found": p3_found, "p3_summary": p3_summary, "p5_found": p5_found, "p5_pieces": p5_pieces, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_profile": p8_profile}
 
 ORACLE = {
     "p5_found": r"""
