@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import written
 from ..tables import load
-from . import mixing, near_duplicates, pairs, reading_level, splitting
+from . import mixing, near_duplicates, page_noise, pairs, reading_level, splitting
 from .text import chunk_texts, source_key
 
 
@@ -43,6 +43,18 @@ def p3_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p3_found(spark, sf_dir).groupBy("record_kind", "defect").agg(F.count("*").alias("n_records"))
 
 
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_texts(load(spark, sf_dir, "retrieval_hits"), "title")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_noise.find_noise(_pages(spark, sf_dir))
+
+
+def p4_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_noise.repair(_pages(spark, sf_dir))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = load(spark, sf_dir, "retrieval_hits")
     return splitting.oversized(chunk_texts(hits.where(F.length("text") > 1600)))
@@ -76,7 +88,7 @@ def p8_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading_level.profile(p8_found(spark, sf_dir), load(spark, sf_dir, "documents"), source_key(F.col("source")))
 
 
-QUERIES = {"p2_found": p2_found, "p2_classes": p2_classes, "p3_found": p3_found, "p3_summary": p3_summary, "p5_found": p5_found, "p5_pieces": p5_pieces, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_profile": p8_profile}
+QUERIES = {"p4_found": p4_found, "p4_repaired": p4_repaired, "p2_found": p2_found, "p2_classes": p2_classes, "p3_found": p3_found, "p3_summary": p3_summary, "p5_found": p5_found, "p5_pieces": p5_pieces, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_profile": p8_profile}
 
 ORACLE = {
     "p5_found": r"""
