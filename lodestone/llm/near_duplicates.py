@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
+
 #: Segments, symbols per segment.
 SEGMENTS, SYMBOLS = 30, 5
 _WORDS = "[a-z0-9]+"
@@ -64,9 +66,7 @@ def _signer(segments: int, symbols: int, shingle: int, least_words: int):
                 runs = np.unique(runs * power[0])
                 low = np.full(n, np.iinfo(np.uint64).max, dtype=np.uint64)
                 for at in range(0, len(runs), 2048):  # very long texts: bounded memory
-                    h = runs[at : at + 2048, None] * mul[None, :] + add[None, :]
-                    h ^= h >> np.uint64(32)
-                    h *= power[1]
+                    h = (runs[at : at + 2048, None] ^ add[None, :]) * mul[None, :]
                     np.minimum(low, h.min(axis=0), out=low)
                 seg = low.reshape(segments, symbols)
                 one = (seg * mix.T) ^ ((seg * mix.T) >> np.uint64(29))
@@ -82,23 +82,101 @@ def _signer(segments: int, symbols: int, shingle: int, least_words: int):
     return sign
 
 
-def _runs(text: Column, shingle: int) -> Column:
-    w = F.regexp_extract_all(F.lower(text), F.lit(_WORDS), F.lit(0))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - (shingle - 1)), lambda i: F.array_join(F.slice(w, i, shingle), " ")))
+def _bucket_pairs(most: int):
+    """Pairs within runs of equal ``v`` of sorted rows; runs longer than ``most``
+    come out as they are (b null), for a join that can be split."""
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import numpy as np
+
+        def emit(v, t):
+            starts = np.flatnonzero(np.r_[True, v[1:] != v[:-1]])
+            size = np.repeat(np.diff(np.r_[starts, len(v)]), np.diff(np.r_[starts, len(v)]))
+            hot = size > most
+            a, b, w = [t[hot]], [np.zeros(hot.sum(), np.int64)], [v[hot]]
+            keep = (size > 1) & ~hot
+            v, t = v[keep], t[keep]
+            for d in range(1, most):
+                same = np.flatnonzero(v[d:] == v[:-d]) if d < len(v) else []
+                if len(same) == 0:
+                    break
+                x, y = t[same], t[same + d]
+                a.append(np.minimum(x, y))
+                b.append(np.maximum(x, y))
+                w.append(np.zeros(len(same), np.int64))
+            n = len(a[0])
+            out = pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b), "v": np.concatenate(w)})
+            out["hot"] = np.arange(len(out)) < n
+            return out.drop_duplicates() if len(out) > n else out
+
+        rest_v, rest_t = np.empty(0, np.int64), np.empty(0, np.int64)
+        held: list = []
+        for batch in batches:
+            held.append((batch["v"].to_numpy(np.int64), batch["tkey"].to_numpy(np.int64)))
+            if sum(len(x[0]) for x in held) < 500_000:
+                continue
+            v = np.concatenate([rest_v, *[x[0] for x in held]])
+            t = np.concatenate([rest_t, *[x[1] for x in held]])
+            held = []
+            cut = int(np.flatnonzero(v != v[-1])[-1]) + 1 if v[0] != v[-1] else 0
+            if cut == 0 and len(v) > 2_000_000:  # one run fills everything: it is hot anyhow
+                yield pd.DataFrame({"a": t, "b": np.zeros(len(t), np.int64), "v": v, "hot": True})
+                rest_v, rest_t = v[:0], t[:0]
+                continue
+            if cut:
+                yield emit(v[:cut], t[:cut])
+            rest_v, rest_t = v[cut:], t[cut:]
+        v = np.concatenate([rest_v, *[x[0] for x in held]])
+        t = np.concatenate([rest_t, *[x[1] for x in held]])
+        if len(v):
+            yield emit(v, t)
+
+    return scan
+
+
+def _verifier(similarity: float, shingle: int):
+    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
+        import re
+
+        words = re.compile(_WORDS)
+
+        def runs(text):
+            w = words.findall(text.lower())
+            return set(zip(*[w[k:] for k in range(shingle)]))
+
+        out = []
+        known: dict[str, set] = {}
+        for x, y in zip(a, b):
+            if len(known) > 500:
+                known.clear()
+            for z in (x, y):
+                if z not in known:
+                    known[z] = runs(z)
+            p, q = known[x], known[y]
+            n = len(p & q)
+            out.append(n >= similarity * (len(p) + len(q) - n) and n > 0)
+        return pd.Series(out, dtype=bool)
+
+    return F.pandas_udf(alike, "boolean")
 
 
 def similar_texts(texts: DataFrame, similarity: float = 0.5, shingle: int = 3, least_words: int = 20,
-                  segments: int = SEGMENTS, symbols: int = SYMBOLS) -> DataFrame:
+                  segments: int = SEGMENTS, symbols: int = SYMBOLS, bucket: int = 64) -> DataFrame:
     """Pairs of different texts at least ``similarity`` alike: a, b (a < b).
 
     ``texts``: tkey long (unique), text with at least ``least_words`` words.
     Similarity is the share of common runs of ``shingle`` words among all runs of
-    the two texts; the result holds no pair below it.
+    the two texts; the result holds no pair below it.  Buckets of up to ``bucket``
+    texts are paired while their sorted rows stream by; the members of larger ones
+    go to a join that Spark can split.
     """
-    signed = texts.mapInPandas(_signer(segments, symbols, shingle, least_words), "tkey long, variants array<long>, sketch array<long>")
+    signed = written(texts.mapInPandas(_signer(segments, symbols, shingle, least_words), "tkey long, variants array<long>, sketch array<long>"), "near-signatures")
     index = signed.select("tkey", F.explode("variants").alias("v"))
-    left, right = index.select(F.col("tkey").alias("a"), "v"), index.select(F.col("tkey").alias("b"), F.col("v").alias("w"))
-    found = left.join(right, (F.col("v") == F.col("w")) & (F.col("a") < F.col("b"))).select("a", "b").distinct()
+    scanned = index.repartition("v").sortWithinPartitions("v", "tkey").mapInPandas(_bucket_pairs(bucket), "a long, b long, v long, hot boolean")
+    scanned = written(scanned, "near-candidates")
+    hot = scanned.where("hot").select("v", "a")
+    wide = hot.join(hot.select("v", F.col("a").alias("b")), "v").where(F.col("a") < F.col("b")).select("a", "b")
+    found = scanned.where(~F.col("hot") & (F.col("a") != F.col("b"))).select("a", "b").unionByName(wide).distinct()
     # thin out by sketch: of 150 bits, (1 - s) / 2 differ on average; four standard deviations are allowed
     p = (1 - similarity) / 2
     most = int(150 * p + 4 * (150 * p * (1 - p)) ** 0.5)
@@ -109,9 +187,8 @@ def similar_texts(texts: DataFrame, similarity: float = 0.5, shingle: int = 3, l
     near = found.join(ka, "a").join(kb, "b").where(apart <= most).select("a", "b")
     ta = texts.select(F.col("tkey").alias("a"), F.col("text").alias("text_a"))
     tb = texts.select(F.col("tkey").alias("b"), F.col("text").alias("text_b"))
-    both = near.join(ta, "a").join(tb, "b").select("a", "b", _runs(F.col("text_a"), shingle).alias("ra"), _runs(F.col("text_b"), shingle).alias("rb"))
-    common = both.select("a", "b", F.size(F.array_intersect("ra", "rb")).alias("n"), (F.size("ra") + F.size("rb")).alias("m"))
-    return common.where(F.col("n") >= similarity * (F.col("m") - F.col("n"))).select("a", "b")
+    both = near.join(ta, "a").join(tb, "b")
+    return both.where(_verifier(similarity, shingle)(F.col("text_a"), F.col("text_b"))).select("a", "b")
 
 
 def _long_enough(text: Column, least_words: int) -> Column:
