@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import written
 from ..tables import load
-from . import mixing, near_duplicates, page_noise, pairs, reading_level, splitting
+from . import leakage, mixing, near_duplicates, page_noise, pairs, reading_level, splitting
 from .text import chunk_texts, source_key
 
 
@@ -66,6 +66,14 @@ def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({c: F.array_join(c, ",") for c in ("source_block_ids", "overlap_source_block_ids")})
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "eval_items"))
+
+
+def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.report(p6_found(spark, sf_dir), load(spark, sf_dir, "documents"), load(spark, sf_dir, "eval_items"))
+
+
 def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = mixing.token_counts(load(spark, sf_dir, "documents"))
     return mixing.mix(written(counted, "mix-tokens"), load(spark, sf_dir, "source_targets"))
@@ -88,7 +96,7 @@ def p8_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading_level.profile(p8_found(spark, sf_dir), load(spark, sf_dir, "documents"), source_key(F.col("source")))
 
 
-QUERIES = {"p4_found": p4_found, "p4_repaired": p4_repaired, "p2_found": p2_found, "p2_classes": p2_classes, "p3_found": p3_found, "p3_summary": p3_summary, "p5_found": p5_found, "p5_pieces": p5_pieces, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_profile": p8_profile}
+QUERIES = {"p4_found": p4_found, "p4_repaired": p4_repaired, "p2_found": p2_found, "p2_classes": p2_classes, "p3_found": p3_found, "p3_summary": p3_summary, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_report": p6_report, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_profile": p8_profile}
 
 ORACLE = {
     "p5_found": r"""
