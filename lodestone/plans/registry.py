@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import references
+from . import corpus, references
 
-_MODULES = (references,)
+_MODULES = (references, corpus)
 
 QUERIES: dict = {}
 ORACLE: dict = {}
