@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import corpus, references
+from . import corpus, references, retrieval
 
-_MODULES = (references, corpus)
+_MODULES = (references, corpus, retrieval)
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -12,4 +12,4 @@ for _m in _MODULES:
     QUERIES |= _m.QUERIES
     ORACLE |= _m.ORACLE
 
-FLAGSHIP = "p1_found"
+FLAGSHIP = "document_hybrid_topk"
