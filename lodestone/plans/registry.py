@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import corpus, references, retrieval
+from . import audit, corpus, metrics, references, retrieval
 
-_MODULES = (references, corpus, retrieval)
+_MODULES = (references, corpus, retrieval, metrics, audit)
 
 QUERIES: dict = {}
 ORACLE: dict = {}
