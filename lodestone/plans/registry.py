@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import audit, corpus, metrics, references, retrieval
+from . import audit, corpus, metrics, references, retrieval, runs, structure
 
-_MODULES = (references, corpus, retrieval, metrics, audit)
+_MODULES = (references, corpus, retrieval, metrics, audit, structure, runs)
 
 QUERIES: dict = {}
 ORACLE: dict = {}
