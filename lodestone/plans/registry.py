@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import audit, corpus, metrics, references, retrieval, runs, structure
+from . import audit, corpus, metrics, references, relational, retrieval, runs, streams, structure
 
-_MODULES = (references, corpus, retrieval, metrics, audit, structure, runs)
+_MODULES = (references, corpus, retrieval, metrics, audit, structure, runs, relational, streams)
 
 QUERIES: dict = {}
 ORACLE: dict = {}
