@@ -20,19 +20,26 @@ from pyspark.sql import functions as F
 from ..session import written
 
 #: Hashed vocabulary; kept directions; passage lengths (words) and their stride.
-HASHED, KEPT, PASSAGES, STRIDE = 1 << 14, 96, (16, 24, 32), 8
+HASHED, KEPT, PASSAGES, STRIDE = 1 << 14, 64, (16, 24, 32), 8
 _TAG = r"</?[A-Za-z][^<>]{0,40}>"
 
 
 def words_of(text: str) -> list[str]:
     """Words of a text: what is between white space, in letters and digits only,
     lower case; tags are taken out (``br`` and ``p`` count as white space)."""
+    return [w for w in map(_clean, _untagged(text).split()) if w]
+
+
+def _untagged(text: str) -> str:
     import re
 
-    if "<" in text:
-        text = re.sub(r"<(?:br|p|/p)\b[^<>]{0,20}>", " ", text)
-        text = re.sub(_TAG, "", text)
-    return [w for w in re.sub(r"[^\w\s]+|_", "", text.lower()).split() if w]
+    if "<" not in text:
+        return text
+    return re.sub(_TAG, "", re.sub(r"<(?:br|p|/p)\b[^<>]{0,20}>", " ", text))
+
+
+def _clean(token: str) -> str:
+    return "".join(c for c in token.lower() if c.isalnum())
 
 
 def _encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -40,18 +47,20 @@ def _encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     import xxhash
 
     known: dict[str, int] = {}
+
+    def code(token: str) -> int:
+        w = _clean(token)
+        v = known[token] = max(1, xxhash.xxh32_intdigest(w)) if w else 0
+        return v
+
     for batch in batches:
         out = []
         for text in batch["text"]:
-            if len(known) > 1_000_000:
+            if len(known) > 500_000:
                 known.clear()
-            ids = []
-            for w in words_of(text):
-                v = known.get(w)
-                if v is None:
-                    v = known[w] = xxhash.xxh32_intdigest(w)
-                ids.append(v)
-            out.append(np.array(ids, dtype=np.uint32).tobytes())
+            ids = [known[t] if t in known else code(t) for t in _untagged(text).split()]
+            x = np.array(ids, dtype=np.uint32)
+            out.append(x[x > 0].tobytes())
         yield pd.DataFrame({"id": batch["id"], "w": out})
 
 
@@ -93,10 +102,16 @@ def _windows(x: np.ndarray, size: int, stride: int) -> np.ndarray:
     return at if at[-1] == last else np.append(at, last)
 
 
-def _sums(rows: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+def _running(rows: np.ndarray) -> np.ndarray:
     c = np.empty((len(rows) + 1, rows.shape[1]), np.float32)
     c[0] = 0
     np.cumsum(rows, axis=0, out=c[1:])
+    return c
+
+
+def _sums(rows: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """Sums of the rows of every passage."""
+    c = _running(rows)
     return c[np.minimum(at + size, len(rows))] - c[at]
 
 
@@ -104,47 +119,72 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
 
 
-def latent_basis(encoded: DataFrame, weights: np.ndarray, sample: int = 20_000, passes: int = 2, tasks: int = 12, seed: int = 5) -> np.ndarray:
+def _add_rows(out: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    """out[at] += rows, repeated positions summed."""
+    order = np.argsort(at, kind="stable")
+    at = at[order]
+    starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+    out[at[starts]] += np.add.reduceat(rows[order], starts, axis=0)
+
+
+def latent_basis(encoded: DataFrame, weights: np.ndarray, sample: int = 8_000, passes: int = 2, tasks: int = 12, seed: int = 5) -> np.ndarray:
     """Term matrix (``HASHED`` x ``KEPT``) of the randomised SVD of the passages.
 
     Fitted on the ``sample`` documents with the smallest hash of their id (a
     bounded sample; the index and the search cover all).  Each pass multiplies the
     passage matrix and its transpose with the current basis inside the tasks and
-    adds the products up per feature; the basis is made orthonormal in between.
+    adds the products up per block of features; the basis is made orthonormal in
+    between.
     """
     spark = encoded.sparkSession
     rng = np.random.default_rng(seed)
-    basis = rng.standard_normal((HASHED, KEPT + 16)).astype(np.float32)
+    width, rows_in_block = KEPT + 16, 256
+    basis = rng.standard_normal((HASHED, width)).astype(np.float32)
     chosen = written(encoded.orderBy(F.xxhash64("id"), "id").limit(sample).repartition(tasks, "id"), "leak-sample")
-    size = PASSAGES[1]
+    size, step = PASSAGES[1], PASSAGES[1] // 2
+
+    def total(group: pd.DataFrame) -> pd.DataFrame:
+        z = sum(np.frombuffer(b, np.float64) for b in group["data"])
+        return pd.DataFrame({"block": group["block"].iloc[:1], "data": [z.tobytes()]})
+
     for _ in range(passes):
         shared = spark.sparkContext.broadcast((weights[:, None] * basis).astype(np.float32))
 
         def product(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             p = shared.value
-            out = np.zeros(p.shape, np.float32)
+            out = np.zeros((HASHED, width))
+            held: list = []
+
+            def flush():
+                if held:
+                    _add_rows(out, np.concatenate([h[0] for h in held]), np.vstack([h[1] for h in held]))
+                    held.clear()
+
             for batch in batches:
                 for w in batch["w"]:
                     x = _features(w)
-                    at = _windows(x, size, size // 2)
+                    at = _windows(x, size, step)
                     y = _sums(p[x], at, size)
-                    # length of the TF-IDF vectors, words taken as different
-                    c = np.r_[0, np.cumsum(weights[x] ** 2)]
-                    norm = c[np.minimum(at + size, len(x))] - c[at]
-                    y /= np.maximum(norm, 1e-9)[:, None]
-                    for a, row in zip(at, y):
-                        np.add.at(out, x[a : a + size], row)
+                    c = np.r_[0, np.cumsum(weights[x] ** 2)]  # squared length, words taken as different
+                    y /= np.maximum(c[np.minimum(at + size, len(x))] - c[at], 1e-9)[:, None]
+                    # every word gets the sum of the passages that cover it
+                    edge = np.zeros((len(x) + 1, width), np.float32)
+                    np.add.at(edge, at, y)
+                    np.add.at(edge, np.minimum(at + size, len(x)), -y)
+                    held.append((x, np.cumsum(edge[:-1], axis=0)))
+                    if len(held) >= 200:
+                        flush()
+            flush()
             out *= weights[:, None]
-            at = np.flatnonzero(np.abs(out).sum(axis=1))
-            yield pd.DataFrame({"f": at, "v": list(out[at].astype(np.float64))})
-
-        summed = chosen.select("w").mapInPandas(product, "f long, v array<double>").select("f", F.posexplode("v").alias("k", "x")).groupBy(
-            "f", "k").agg(F.sum("x").alias("x")).groupBy("f").agg(F.array_sort(F.collect_list(F.struct("k", "x"))).alias("v")).select(
-            "f", F.transform("v", lambda z: z["x"]).alias("v")).toPandas()  # HASHED rows at most
-        z = np.zeros((HASHED, KEPT + 16))
-        if len(summed):
-            z[summed["f"].to_numpy()] = np.vstack(summed["v"].to_numpy())
-        u, s, _ = np.linalg.svd(z, full_matrices=False)
+            parts = out.reshape(-1, rows_in_block * width)
+            yield pd.DataFrame({"block": np.arange(len(parts)), "data": [x.tobytes() for x in parts]})
+
+        summed = chosen.select("w").mapInPandas(product, "block int, data binary").groupBy("block").applyInPandas(
+            total, "block int, data binary").toPandas()  # HASHED rows in all, whatever the corpus
+        z = np.zeros((HASHED // rows_in_block, rows_in_block * width))
+        for b, data in zip(summed["block"], summed["data"]):
+            z[b] = np.frombuffer(data, np.float64)
+        u, _, _ = np.linalg.svd(z.reshape(HASHED, width), full_matrices=False)
         basis = u.astype(np.float32)
         shared.unpersist()
     return basis[:, :KEPT]
@@ -164,15 +204,27 @@ class _Items:
             for i, w in enumerate(self.words):
                 if scale[i] == k and len(w):
                     x = (w & np.uint32(HASHED - 1)).astype(np.int64)
-                    v = _sums(terms[x], _windows(x, size, STRIDE // 2), size)
+                    v = _sums(terms[x], _windows(x, size, size // 4), size)
                     vec.append(v)
                     own += [i] * len(v)
             if own:
-                own = np.array(own)
-                starts = np.r_[0, np.flatnonzero(np.diff(own)) + 1]
-                self.scales.append((size, _unit(np.vstack(vec)).T.copy(), starts, own[starts]))
-        runs = [np.unique(_runs(w)) for w in self.words]
-        self.runs = runs
+                self.scales.append((size, _unit(np.vstack(vec)), np.array(own)))
+        # runs of four words of all items, sorted, with the items that have each
+        pairs = [(r, i) for i, w in enumerate(self.words) if len(w) for r in np.unique(_runs(w))]
+        run = np.array([r for r, _ in pairs], np.uint64)
+        order = np.argsort(run, kind="stable")
+        self.run_items = np.array([i for _, i in pairs], np.int64)[order]
+        self.runs, self.run_first = np.unique(run[order], return_index=True)
+        self.run_count = np.diff(np.r_[self.run_first, len(order)])
+
+    def shared_runs(self, doc: np.ndarray) -> np.ndarray:
+        """Number of runs that each item has in common with a document."""
+        r = np.unique(_runs(doc))
+        at = np.minimum(np.searchsorted(self.runs, r), max(len(self.runs) - 1, 0))
+        at = at[self.runs[at] == r] if len(self.runs) else at[:0]
+        n = self.run_count[at]
+        first = np.repeat(self.run_first[at] - np.r_[0, np.cumsum(n)[:-1]], n)
+        return np.bincount(self.run_items[first + np.arange(n.sum())], minlength=len(self.ids))
 
 
 def _runs(w: np.ndarray, k: int = 4) -> np.ndarray:
@@ -191,59 +243,70 @@ def common_stretch(item: np.ndarray, doc: np.ndarray, need: int, errors: float)
     """Whether ``doc`` holds at least ``need`` successive words of ``item`` in one
     stretch with at most ``errors`` of them changed, added or dropped.
 
-    For every number of errors the recurrence keeps, per pair of positions, the
-    earliest item word from which an alignment ending there can start."""
-    n, m = len(item), len(doc)
-    most = int(n * errors)
+    For every number of errors e the recurrence keeps, per pair of positions, the
+    earliest item word from which an alignment ending there can start.  Columns
+    are document positions less e, so that all numbers of errors move at once."""
+    n, m, most = len(item), len(doc), int(len(item) * errors)
+    if n < need or m < need - most:
+        return False
     far = np.int32(1 << 20)
-    at = np.arange(m)
-    # best[e][j]: earliest start of an alignment of item[start:i] that ends at doc[:j]
-    best = np.full((most + 1, m + 1), far, np.int32)
-    best[:] = 0
+    e = np.arange(most + 1)
+    at = np.arange(-most, m + 1)[None, :] + e[:, None]  # document words read, per (e, column)
+    word = np.where((at >= 1) & (at <= m), doc.astype(np.int64)[np.clip(at - 1, 0, max(m - 1, 0))], -1)
+    inside = (at >= 0) & (at <= m)
+    best = np.where(inside, 0, far).astype(np.int32)
     for i in range(1, n + 1):
-        hit = doc == item[i - 1]
-        new = np.full((most + 1, m + 1), i, np.int32)
-        for e in range(most + 1):
-            row = new[e]
-            row[1:][hit] = np.minimum(row[1:][hit], best[e][:-1][hit])
-            if e:
-                np.minimum(row[1:], best[e - 1][:-1], out=row[1:])  # changed
-                np.minimum(row, best[e - 1], out=row)  # dropped
-                np.minimum(row[1:], new[e - 1][:-1], out=row[1:])  # added
-            length = i - int(row.min())
-            if length >= need and e <= length * errors:
+        new = np.where(inside, np.int32(i), far)
+        np.minimum(new[:, 1:], np.where(word[:, 1:] == item[i - 1], best[:, :-1], far), out=new[:, 1:])
+        if most:
+            np.minimum(new[1:], best[:-1], out=new[1:])  # changed
+            np.minimum(new[1:, :-1], best[:-1, 1:], out=new[1:, :-1])  # dropped
+            np.minimum.accumulate(new, axis=0, out=new)  # added
+            new[~inside] = far
+        if i >= need:
+            length = i - new.min(axis=1)
+            if ((length >= need) & (e <= length * errors)).any():
                 return True
         best = new
     return False
 
 
-def _searcher(items: "_Items", terms_b, threshold: float, errors: float, batch_docs: int = 128):
+def _straight(item: np.ndarray, doc: np.ndarray, shift: int, need: int, errors: float) -> bool:
+    """The same without added or dropped words: item word i against document word i + shift."""
+    lo, hi = max(0, -shift), min(len(item), len(doc) - shift)
+    if hi - lo < need:
+        return False
+    wrong = np.r_[0, np.cumsum(item[lo:hi] != doc[lo + shift : hi + shift])] - errors * np.arange(hi - lo + 1)
+    return bool((wrong[need:] <= np.maximum.accumulate(wrong[: len(wrong) - need]) + 1e-9).any())
+
+
+def _searcher(items: "_Items", terms_b, threshold: float, errors: float, batch_docs: int = 64):
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         terms = terms_b.value
         # of a stretch of n words with a tenth wrong, at least 0.6 n - 4 runs of four are whole
-        least = [max(1, int(n * (1 - 4 * errors)) - 4) for n in items.need]
+        least = np.array([max(1, int(n * (1 - 4 * errors)) - 4) for n in items.need])
         for batch in batches:
             ids, coded = batch["id"].to_numpy(), [np.frombuffer(w, np.uint32) for w in batch["w"]]
             doc, item = [], []
             for lo in range(0, len(ids), batch_docs):
                 part = coded[lo : lo + batch_docs]
-                rows = [terms[(w & np.uint32(HASHED - 1)).astype(np.int64)] for w in part]
+                # one running sum over all documents of the part; passages never cross a document
+                end = np.cumsum([len(w) for w in part])
+                sums = _running(terms[(np.concatenate(part) & np.uint32(HASHED - 1)).astype(np.int64)].astype(np.float32))
                 near = np.zeros((len(part), len(items.ids)), bool)
-                for size, q, starts, own in items.scales:
+                for size, q, own in items.scales:
                     at = [_windows(w, size, STRIDE) for w in part]
-                    v = _unit(np.vstack([_sums(r, a, size) for r, a in zip(rows, at)]))
                     of = np.repeat(np.arange(len(part)), [len(a) for a in at])
-                    for k in range(0, len(v), 4096):
-                        top = np.maximum.reduceat(v[k : k + 4096] @ q, starts, axis=1) >= threshold
-                        x, y = np.nonzero(top)
+                    a = np.concatenate(at) + (end - [len(w) for w in part])[of]
+                    v = _unit(sums[np.minimum(a + size, end[of])] - sums[a])
+                    for k in range(0, len(v), 512):
+                        block = v[k : k + 512]
+                        hit = np.flatnonzero(block @ q.T >= threshold)
+                        x, y = hit // len(q), hit % len(q)
                         near[of[k + x], own[y]] = True
-                for d in range(len(part)):
-                    if not near[d].any():
-                        continue
-                    runs = np.unique(_runs(part[d]))
-                    for i in np.flatnonzero(near[d]):
-                        both = np.isin(items.runs[i], runs, assume_unique=True).sum()
-                        if both >= least[i] and _decide(items, i, part[d], errors):
+                for d in np.flatnonzero(near.any(axis=1)):
+                    for i in np.flatnonzero(near[d] & (items.shared_runs(part[d]) >= least)):
+                        if _decide(items, i, part[d], errors):
                             doc.append(ids[lo + d])
                             item.append(items.ids[i])
             yield pd.DataFrame({"doc_id": np.array(doc, np.int64), "item_id": np.array(item, np.int64)})
@@ -255,14 +318,21 @@ def _decide(items: "_Items", i: int, doc: np.ndarray, errors: float) -> bool:
     """The exact check, on the parts of the document that share runs with the item."""
     w = items.words[i]
     k = min(4, len(w), len(doc))
-    shared = np.flatnonzero(np.isin(_runs(doc, k), np.unique(_runs(w, k))))
+    own, theirs = _runs(w, k), _runs(doc, k)
+    order = np.argsort(own, kind="stable")
+    place = np.minimum(np.searchsorted(own[order], theirs), len(own) - 1)
+    first = order[place]
+    shared = np.flatnonzero(own[first] == theirs)
     if not len(shared):
         return False
+    shifts, n = np.unique(shared - first[shared], return_counts=True)
+    if any(_straight(w, doc, int(d), items.need[i], errors) for d in shifts[np.argsort(-n)[:3]]):
+        return True
     parts = np.split(shared, np.flatnonzero(np.diff(shared) > len(w)) + 1)
     return any(common_stretch(w, doc[max(0, p[0] - len(w)) : p[-1] + len(w) + k], items.need[i], errors) for p in parts)
 
 
-def leaks(documents: DataFrame, items: DataFrame, share: float = 0.5, errors: float = 0.1, threshold: float = 0.8,
+def leaks(documents: DataFrame, items: DataFrame, share: float = 0.5, errors: float = 0.1, threshold: float = 0.85,
           block: int = 2000) -> DataFrame:
     """doc_id, item_id of every document that contains an item.
 
