@@ -24,6 +24,8 @@ ALIKE = (("0@$5!1|(", "oassillc"), ("eceohbtflij", "cccobbffiii"))
 HYPHENS = "-­‐‑¬"
 _NUMBER = r"(?i)^(?:\d{1,4}|[-–—] ?\d{1,4} ?[-–—]|\[ \d{1,4} \]|(?:page|p\.|pg\.|seite) ?\d{1,4}|page \d{1,4} of \d{1,4}|\d{1,4} / \d{1,4})$"
 _EDGE = r"^\d{1,4}(?:\s{2,}|\s*\|\s*)|(?:\s{2,}|\s*\|\s*)\d{1,4}$"
+#: Contexts that may be broadcast.
+_SMALL = 50_000
 #: Stamps that are heads by what they say.
 _STAMP = r"^(?:preprint|underreview|draftof|acceptedmanuscript|authorversion).{0,40}$"
 
@@ -48,11 +50,13 @@ def lines(chunks: DataFrame) -> DataFrame:
     paper = F.regexp_replace("chunk_id", r"_[^_]*_?\d*$", "")
     raw = chunks.where(F.col("text").contains("\n")).select(
         "chunk_id", paper.alias("doc"), _plain(F.col("title")).alias("title"),
-        F.regexp_extract("chunk_id", r"^[^_]*_([^_]+)", 1).alias("author"), F.posexplode(F.split("text", "\r?\n")).alias("pos", "line"))
-    s = F.trim(F.regexp_replace("line", r"[\s ]+$|^[\s ]+", ""))
-    cut = raw.withColumn("s", s).withColumn("core", F.regexp_replace("s", _EDGE, "")).withColumn("k", _plain(F.col("core")))
+        F.regexp_extract("chunk_id", r"^[^_]*_([^_]+)", 1).alias("author"), F.posexplode_outer(F.split("text", "\r?\n")).alias("pos", "line"))
+    short = F.length("s") <= 150  # longer lines are no heads; they are left alone
+    cut = raw.withColumn("s", F.btrim("line", F.lit(" \t\r\f\u00a0"))).withColumn("core", F.when(short, F.regexp_replace("s", _EDGE, ""))).withColumn(
+        "k", F.when(F.col("core").isNotNull(), _plain(F.col("core"))))
+    worded = ~F.contains("core", F.lit("|")) & F.col("core").rlike(r"^\S+\s+\S+\s+\S")
     return cut.withColumn("masked", F.when(
-        (F.length("k") >= 10) & (F.length("s") <= 150) & ~F.contains("core", F.lit("|")) & F.col("core").rlike(r"^\S+\s+\S+\s+\S") & _titled(F.col("core")), F.regexp_replace("k", r"\d+", "#")))
+        F.coalesce((F.length("k") >= 10) & worded & _titled(F.col("core")), F.lit(False)), F.regexp_replace("k", r"\d+", "#")))
 
 
 def noise_lines(split: DataFrame, repeats: int = 2) -> DataFrame:
@@ -64,11 +68,13 @@ def noise_lines(split: DataFrame, repeats: int = 2) -> DataFrame:
     by_author = (F.length("author") >= 3) & F.startswith(k, F.col("author")) & F.substring(k, F.length("author") + 1, F.length(k)).rlike(r"^(?:etal|and[a-z]{2,20})$") & (F.length("core") <= 80)
     by_stamp = k.rlike(_STAMP) & ~F.col("core").rlike(r"[a-z],")
     by_volume = F.col("masked").isNotNull() & k.rlike(r"(?:vol|volume)\d{1,4}$")
-    joined = split.join(counted, ["doc", "masked"], "left")
+    # only lines that look like heads need the counts; all others pass by the join
+    joined = split.where(F.col("masked").isNotNull()).join(counted, ["doc", "masked"], "left").unionByName(
+        split.where(F.col("masked").isNull()).withColumn("n_chunks", F.lit(None).cast("long")))
     header = F.coalesce(by_title | by_author | by_stamp | by_volume, F.lit(False)) | F.col("n_chunks").isNotNull()
-    alone = F.col("s").rlike(_NUMBER)
+    alone = F.coalesce((F.length("s") <= 20) & F.col("s").rlike(_NUMBER), F.lit(False))
     return joined.withColumn("is_header", header & ~alone).withColumn(
-        "is_number", alone | (F.col("is_header") & (F.col("core") != F.col("s"))))
+        "is_number", alone | (F.col("is_header") & F.coalesce(F.col("core") != F.col("s"), F.lit(False))))
 
 
 def bare(c: Column) -> Column:
@@ -76,11 +82,14 @@ def bare(c: Column) -> Column:
     return F.regexp_replace(c, r"^[\"'“”‘’\[{<«]+|[.,;:?)\"'“”‘’\]}>»]+$", "")
 
 
+#: A word with what scanners put in place of letters; hyphens inside belong to it.
+_SIGNED = r"[A-Za-z0-9@$(|!\p{L}\p{N}]++"
+
+
 def vocabulary(chunks: DataFrame) -> DataFrame:
-    """word and n: how often each token (hyphens kept, punctuation off) occurs
-    inside the lines of all texts; words of three letters or more."""
-    inner = F.regexp_replace("text", rf"\S+[{HYPHENS}] ?\n\s*\S+", " ")
-    return chunks.select(F.explode(F.split(inner, r"\s+")).alias("t")).select(bare(F.col("t")).alias("word")).where(
+    """word and n: how often each word (hyphens kept) occurs inside the lines of all texts."""
+    inner = F.when(F.col("text").rlike(rf"[{HYPHENS}] ?\n"), F.regexp_replace("text", rf"(?<!\S)\S+[{HYPHENS}] ?\n\s*\S+", " ")).otherwise(F.col("text"))
+    return chunks.select(F.explode_outer(F.regexp_extract_all(inner, F.lit(rf"{_SIGNED}(?:-{_SIGNED})*+"), F.lit(0))).alias("word")).where(
         F.length("word") >= 3).groupBy("word").agg(F.count("*").alias("n"))
 
 
@@ -91,8 +100,8 @@ def cut_words(marked: DataFrame, words: DataFrame) -> DataFrame:
     w = Window.partitionBy("chunk_id").orderBy("pos")
     pairs = body.select("chunk_id", "pos", "s", F.lead("s").over(w).alias("after")).where(
         F.col("s").rlike(rf"[\p{{L}}][{HYPHENS}]$") & F.col("after").rlike(r"^[\p{L}0-9]"))
-    left = bare(F.regexp_extract("s", rf"(\S+)[{HYPHENS}]$", 1))
-    right = bare(F.regexp_extract("after", r"^(\S+)", 1))
+    left = bare(F.regexp_extract("s", rf"([^\s\u00a0]+)[{HYPHENS}]$", 1))
+    right = bare(F.regexp_extract("after", r"^([^\s\u00a0]+)", 1))
     own = F.endswith(F.col("s"), F.lit("-"))
     p = pairs.select("chunk_id", "pos", left.alias("word_left"), right.alias("word_right"), own.alias("plain_hyphen")).where(
         (F.col("word_left") != "") & (F.col("word_right") != ""))
@@ -130,30 +139,31 @@ def misreadings(words: DataFrame, ratio: int = 10, least: int = 4) -> DataFrame:
         "word", F.col("top.word").alias("right"), (signed | (F.col("top.n") >= F.col("n") * 40)).alias("sure"))
 
 
-def _split_words(c: Column) -> Column:
-    return F.filter(F.transform(F.split(c, r"[\s/-]+"), bare), lambda w: w != "")
-
-
-def misread_words(chunks: DataFrame) -> DataFrame:
+def misread_words(chunks: DataFrame, words: DataFrame) -> DataFrame:
     """Misread words of hard-wrapped texts: chunk_id, word, right.
 
-    Frequencies and contexts come from all texts; only texts whose lines are
-    broken inside sentences (which a page layout leaves) are corrected."""
-    pieces = chunks.select("chunk_id", F.col("text").rlike(r"[^\n]{24,}[\p{L},0-9-] ?\n[^\n|\[]").alias("wrapped"), _split_words(F.col("text")).alias("w"))
-    counts = pieces.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    bad = misreadings(written(counts, "word-counts"))
-    own = pieces.where("wrapped").select("chunk_id", "w", F.posexplode("w").alias("i", "word")).where(F.length("word") >= 4).select(
-        "chunk_id", "word", F.when(F.col("i") > 0, F.col("w")[F.col("i") - 1]).alias("before"),
-        F.when(F.col("i") + 1 < F.size("w"), F.col("w")[F.col("i") + 1]).alias("after"))
+    ``words`` is the :func:`vocabulary` of all texts, contexts come from all texts
+    too; only texts whose lines are broken inside sentences (which a page layout
+    leaves) are corrected."""
+    parts = words.select(F.explode(F.split("word", "-")).alias("word"), "n").groupBy("word").agg(F.sum("n").alias("n"))
+    bad = misreadings(parts)
+    w = F.regexp_extract_all("text", F.lit(_SIGNED), F.lit(0))
+    none = F.array(F.lit(None).cast("string"))
+    wrapped = chunks.where(F.col("text").rlike(r"(?<=[^\n]{24})[\p{L},0-9-] ?\n[^\n|\[]")).select("chunk_id", w.alias("w"))
+    own = wrapped.select("chunk_id", F.explode_outer(F.arrays_zip(
+        F.concat(none, "w").alias("before"), F.col("w").alias("word"), F.concat(F.slice("w", F.lit(2), F.size("w")), none).alias("after"))).alias("z")).select(
+        "chunk_id", "z.before", "z.word", "z.after").where(F.length("word") >= 4)
     found = own.join(bad, "word")
     sure = found.where("sure").select("chunk_id", "word", "right")
-    open_ = found.where(~F.col("sure"))
-    asked = open_.select("chunk_id", "word", "right", F.explode(F.array(
+    asked = found.where(~F.col("sure")).select("chunk_id", "word", "right", F.explode(F.array(
         F.struct(F.col("before").alias("x"), F.col("right").alias("y")), F.struct(F.col("right").alias("x"), F.col("after").alias("y")))).alias("p")).select(
         "chunk_id", "word", "right", "p.x", "p.y").where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    asked = written(asked, "misread-contexts")
     wanted = asked.select("x", "y").distinct()
-    pairs = pieces.select(F.explode(F.arrays_zip(F.col("w").alias("x"), F.slice("w", 2, F.size("w")).alias("y"))).alias("p")).select("p.x", "p.y").where(
-        F.col("y").isNotNull()).join(wanted, ["x", "y"], "left_semi").distinct()
+    if wanted.limit(_SMALL + 1).count() <= _SMALL:  # else Spark joins both sides by a shuffle
+        wanted = F.broadcast(wanted)
+    pairs = chunks.where(F.col("text").isNotNull()).select(w.alias("w")).select(F.explode_outer(F.arrays_zip(F.col("w").alias("x"), F.slice("w", F.lit(2), F.size("w")).alias("y"))).alias("p")).select(
+        "p.x", "p.y").where(F.col("y").isNotNull()).join(wanted, ["x", "y"], "left_semi").distinct()
     backed = asked.join(pairs, ["x", "y"], "left_semi").select("chunk_id", "word", "right")
     return sure.unionByName(backed).distinct()
 
@@ -161,11 +171,13 @@ def misread_words(chunks: DataFrame) -> DataFrame:
 def find_noise(chunks: DataFrame) -> DataFrame:
     """chunk_id and noise, one row per chunk and kind: ``hyphenation``, ``misread``,
     ``header``, ``page_number``.  Null, empty and unbroken texts give no row."""
+    chunks = written(chunks.select("chunk_id", "text", "title"), "page-texts")  # read by four jobs below
     marked = written(noise_lines(lines(chunks)).select("chunk_id", "pos", "s", "is_header", "is_number"), "page-lines")
     heads = marked.where("is_header").select("chunk_id", F.lit("header").alias("noise"))
     numbers = marked.where("is_number").select("chunk_id", F.lit("page_number").alias("noise"))
-    cut = cut_words(marked, vocabulary(chunks)).where("hyphenated").select("chunk_id", F.lit("hyphenation").alias("noise"))
-    misread = misread_words(chunks).select("chunk_id", F.lit("misread").alias("noise"))
+    words = written(vocabulary(chunks), "page-words")
+    cut = cut_words(marked, words).where("hyphenated").select("chunk_id", F.lit("hyphenation").alias("noise"))
+    misread = misread_words(chunks, words).select("chunk_id", F.lit("misread").alias("noise"))
     return heads.unionByName(numbers).unionByName(cut).unionByName(misread).distinct()
 
 
@@ -176,8 +188,10 @@ def repair(chunks: DataFrame) -> DataFrame:
     words replaced, and lines that were broken inside a sentence joined; blank
     lines, list items and table rows stay where they are.  Null texts stay null.
     """
+    chunks = written(chunks.select("chunk_id", "text", "title"), "page-texts")
     marked = written(noise_lines(lines(chunks)).select("chunk_id", "pos", "line", "s", "is_header", "is_number"), "page-lines")
-    cut = cut_words(marked, vocabulary(chunks)).select("chunk_id", "pos", "word_right", F.col("hyphenated"))
+    words = written(vocabulary(chunks), "page-words")
+    cut = cut_words(marked, words).select("chunk_id", "pos", "word_right", F.col("hyphenated"))
     body = marked.where(~F.col("is_header") & ~F.col("is_number"))
     w = Window.partitionBy("chunk_id").orderBy("pos")
     # a page break inside a sentence leaves a blank line on either side of its head: those blanks go too
@@ -191,7 +205,7 @@ def repair(chunks: DataFrame) -> DataFrame:
     text = F.when(F.col("hyphenated"), F.regexp_replace("s", rf"[{HYPHENS}]+$", "")).otherwise(F.col("s"))
     flowed = row.select("chunk_id", "pos", F.concat(text, glue).alias("part")).groupBy("chunk_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "part"))), lambda x: x["part"]), "").alias("flowed"))
-    wrong = misread_words(chunks).groupBy("chunk_id").agg(F.collect_set(F.struct("word", "right")).alias("wrong"))
+    wrong = misread_words(chunks, words).groupBy("chunk_id").agg(F.collect_set(F.struct("word", "right")).alias("wrong"))
     out = chunks.select("chunk_id", "text").join(flowed, "chunk_id", "left").join(wrong, "chunk_id", "left")
     base = F.coalesce("flowed", "text")
     fixed = F.aggregate(F.coalesce("wrong", F.array().cast("array<struct<word:string,right:string>>")), base, lambda t, x: F.replace(t, x["word"], x["right"]))
