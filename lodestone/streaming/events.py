@@ -15,9 +15,11 @@ from ..session import shared_folder
 
 def read_stream(spark: SparkSession, path: str, files: int = 4) -> DataFrame:
     """A parquet file or folder as a stream; the schema is taken from its files."""
-    schema = spark.read.parquet(path).schema
-    folder, _, name = path.rstrip("/").rpartition("/")
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).option("pathGlobFilter", name if name.endswith(".parquet") else "*.parquet").parquet(folder)
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory():
+        return stream.parquet(path)
+    return stream.option("pathGlobFilter", place.getName()).parquet(str(place.getParent()))
 
 
 def run(stream: DataFrame, mode: str = "append") -> DataFrame:
@@ -43,5 +45,6 @@ def run_batches(stream: DataFrame, key: str, order: list[str]) -> DataFrame:
     def write(batch: DataFrame, number: int) -> None:
         latest(batch).write.mode("overwrite").parquet(f"{base}/out/batch={number}")
 
+    spark.createDataFrame([], stream.schema).write.parquet(f"{base}/out/batch=-1")  # so that an empty stream has a result
     stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{base}/log").trigger(availableNow=True).start().awaitTermination()
     return latest(spark.read.parquet(f"{base}/out").drop("batch"))
