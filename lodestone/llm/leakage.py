@@ -73,8 +73,9 @@ def _features(w: bytes) -> np.ndarray:
     return (np.frombuffer(w, dtype=np.uint32) & np.uint32(HASHED - 1)).astype(np.int64)
 
 
-def idf(encoded: DataFrame) -> np.ndarray:
-    """Inverse document frequencies of the hashed words over all documents.
+def idf(encoded: DataFrame) -> tuple[np.ndarray, int]:
+    """Inverse document frequencies of the hashed words over all documents, and
+    the number of documents.
 
     Tasks send one count per feature, so what reaches the driver is at most
     ``HASHED`` rows whatever the number of documents."""
@@ -92,7 +93,8 @@ def idf(encoded: DataFrame) -> np.ndarray:
     df = np.zeros(HASHED)
     seen = got[got["f"] >= 0]
     df[seen["f"].to_numpy()] = seen["n"].to_numpy()
-    return np.log(1 + float(got.loc[got["f"] < 0, "n"].sum()) / np.maximum(df, 1)).astype(np.float32)
+    n = int(got.loc[got["f"] < 0, "n"].sum())
+    return np.log(1 + n / np.maximum(df, 1)).astype(np.float32), n
 
 
 def _windows(x: np.ndarray, size: int, stride: int) -> np.ndarray:
@@ -127,11 +129,11 @@ def _add_rows(out: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
     out[at[starts]] += np.add.reduceat(rows[order], starts, axis=0)
 
 
-def latent_basis(encoded: DataFrame, weights: np.ndarray, sample: int = 8_000, passes: int = 2, tasks: int = 12, seed: int = 5) -> np.ndarray:
+def latent_basis(encoded: DataFrame, weights: np.ndarray, n: int, sample: int = 8_000, passes: int = 2, tasks: int = 12, seed: int = 5) -> np.ndarray:
     """Term matrix (``HASHED`` x ``KEPT``) of the randomised SVD of the passages.
 
-    Fitted on the ``sample`` documents with the smallest hash of their id (a
-    bounded sample; the index and the search cover all).  Each pass multiplies the
+    Fitted on about ``sample`` of the ``n`` documents, those whose id hashes below
+    a bound (a bounded sample; the index and the search cover all).  Each pass multiplies the
     passage matrix and its transpose with the current basis inside the tasks and
     adds the products up per block of features; the basis is made orthonormal in
     between.
@@ -140,7 +142,7 @@ def latent_basis(encoded: DataFrame, weights: np.ndarray, sample: int = 8_000, p
     rng = np.random.default_rng(seed)
     width, rows_in_block = KEPT + 16, 256
     basis = rng.standard_normal((HASHED, width)).astype(np.float32)
-    chosen = written(encoded.orderBy(F.xxhash64("id"), "id").limit(sample).repartition(tasks, "id"), "leak-sample")
+    chosen = written(encoded.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) <= int(min(1.0, sample / max(n, 1)) * (1 << 20))).repartition(tasks, "id"), "leak-sample")
     size, step = PASSAGES[1], PASSAGES[1] // 2
 
     def total(group: pd.DataFrame) -> pd.DataFrame:
@@ -344,8 +346,8 @@ def leaks(documents: DataFrame, items: DataFrame, share: float = 0.5, errors: fl
     """
     spark = documents.sparkSession
     coded = written(encode(documents.select(F.col("doc_id").alias("id"), "text")), "leak-words")
-    weights = idf(coded)
-    terms = (weights[:, None] * latent_basis(coded, weights)).astype(np.float32)
+    weights, n_docs = idf(coded)
+    terms = (weights[:, None] * latent_basis(coded, weights, n_docs)).astype(np.float32)
     terms_b = spark.sparkContext.broadcast(terms)
     own = encode(items.select(F.col("item_id").alias("id"), "text").dropDuplicates(["id"])).withColumn(
         "block", F.floor((F.row_number().over(_by_id()) - 1) / block))
