@@ -160,9 +160,8 @@ def shares(chosen: DataFrame, targets: DataFrame) -> DataFrame:
         F.sum("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
     used = chosen.groupBy("source_name").agg(
         F.sum(F.col("tokens") * F.col("repeats")).alias("used_tokens"), F.count("*").alias("n_docs"), F.max("repeats").alias("top_repeats"))
-    total = used.agg(F.sum("used_tokens").alias("all_tokens"))
-    out = aim.join(used, "source_name", "left").crossJoin(F.broadcast(total))  # total is one row
+    total = used.agg(F.sum("used_tokens")).scalar()
     n = F.coalesce("used_tokens", F.lit(0))
-    return out.select(
-        "source_name", "target_share", F.round(F.coalesce(n / F.col("all_tokens"), F.lit(0.0)), 6).alias("reached_share"), n.alias("used_tokens"),
+    return aim.join(used, "source_name", "left").select(
+        "source_name", "target_share", F.round(F.coalesce(n / total, F.lit(0.0)), 6).alias("reached_share"), n.alias("used_tokens"),
         F.coalesce("n_docs", F.lit(0)).alias("n_docs"), "max_repeats", F.coalesce("top_repeats", F.lit(0)).alias("top_repeats"))

@@ -66,9 +66,8 @@ def fit(documents: DataFrame, labels: DataFrame, max_docs: int = 4000, max_terms
     weighted = counts.select("term", "n", *[x.alias(f"r{k}") for k, x in enumerate(r)])
     for step in range(rounds + 1):
         per_term = weighted.groupBy("term").agg(*[F.sum(F.col("n") * F.col(f"r{k}")).alias(f"c{k}") for k in range(4)])
-        totals = per_term.agg(*[(F.sum(f"c{k}") + smoothing * F.count("*")).alias(f"t{k}") for k in range(4)])
-        model = per_term.crossJoin(F.broadcast(totals)).select(  # totals is one row
-            "term", *[F.log((F.col(f"c{k}") + smoothing) / F.col(f"t{k}")).alias(f"w{k}") for k in range(4)])
+        total = per_term.agg(F.struct(*[(F.sum(f"c{k}") + smoothing * F.count("*")).alias(f"t{k}") for k in range(4)])).scalar()
+        model = per_term.select("term", *[F.log((F.col(f"c{k}") + smoothing) / total[f"t{k}"]).alias(f"w{k}") for k in range(4)])
         model = written(model, f"level-model-{step}")
         if step == rounds:
             return model
