@@ -13,12 +13,39 @@ def neighbours(rows: DataFrame, group: str, order: str) -> DataFrame:
     return rows.select(group, order, F.row_number().over(w).alias("n"), F.lag(order).over(w).alias("prev_id"), F.lead(order).over(w).alias("next_id"))
 
 
-def gap_sessions(rows: DataFrame, group: str, ts: str, tie: str, gap_seconds: int) -> DataFrame:
-    """Adds session (from 0): a new one starts where the gap to the row before exceeds the limit."""
-    w = Window.partitionBy(group).orderBy(ts, tie)
-    gap = F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.lag(ts).over(w).cast("timestamp"))
-    return rows.withColumn("_new", F.coalesce((gap > gap_seconds * 1_000_000).cast("int"), F.lit(0))).withColumn(
-        "session", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)).cast("int")).drop("_new")
+def _in_buckets(rows: DataFrame, ts: str, seconds: int) -> DataFrame:
+    return rows.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp"))).withColumn("_b", F.floor(F.col("_us") / (seconds * 1_000_000)))
+
+
+def gap_sessions(rows: DataFrame, group: str, ts: str, tie: str, gap_seconds: int, bucket_seconds: int = 86_400) -> DataFrame:
+    """Adds session (from 0): a new one starts where the gap to the row before exceeds the limit.
+
+    A group is cut into time buckets; rows are ordered inside their bucket only, and
+    the buckets' own first, last and number of starts (one row a bucket) carry the
+    state along the group.  So a group with very many rows is spread over tasks.
+    Rows without a time or group are left out."""
+    cut = _in_buckets(rows.where(F.col(ts).isNotNull() & F.col(group).isNotNull()), ts, bucket_seconds)
+    inside = Window.partitionBy(group, "_b").orderBy(ts, tie)
+    along = Window.partitionBy(group).orderBy("_b")
+    edges = cut.groupBy(group, "_b").agg(F.max("_us").alias("_last")).select(group, "_b", F.lag("_last").over(along).alias("_before"))
+    gap = F.col("_us") - F.coalesce(F.lag("_us").over(inside), F.col("_before"))
+    flagged = cut.join(edges, [group, "_b"]).withColumn("_new", F.coalesce((gap > gap_seconds * 1_000_000).cast("int"), F.lit(0)))
+    starts = flagged.groupBy(group, "_b").agg(F.sum("_new").alias("_n")).select(
+        group, "_b", F.coalesce(F.sum("_n").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    running = F.sum("_new").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return flagged.join(starts, [group, "_b"]).withColumn("session", (F.col("_base") + running).cast("int")).select(*rows.columns, "session")
+
+
+def last_before(rows: DataFrame, group: str, ts: str, tie: str, value: Column, bucket_seconds: int = 86_400) -> DataFrame:
+    """Adds last_value: the latest non-null ``value`` of the group strictly before the
+    row in the order (ts, tie).  Cut into time buckets like :func:`gap_sessions`."""
+    cut = _in_buckets(rows.where(F.col(ts).isNotNull() & F.col(group).isNotNull()), ts, bucket_seconds).withColumn("_v", value)
+    inside = Window.partitionBy(group, "_b").orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, -1)
+    along = Window.partitionBy(group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    ends = cut.groupBy(group, "_b").agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.struct(ts, tie))).alias("_end")).select(
+        group, "_b", F.last("_end", ignorenulls=True).over(along).alias("_carry"))
+    return cut.join(ends, [group, "_b"]).withColumn("last_value", F.coalesce(F.last("_v", ignorenulls=True).over(inside), F.col("_carry"))).select(
+        *rows.columns, "last_value")
 
 
 def carried(rows: DataFrame, group: str, order: str, value: str) -> DataFrame:

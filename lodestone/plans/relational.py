@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators.structure import last_before
 from ..tables import load
 
 REVENUE = "l_extendedprice * (1 - l_discount)"
@@ -55,11 +56,10 @@ def join_theta_range(spark, sf_dir):
 
 
 def asof_latest_event(spark, sf_dir):
-    """For every error event the last click of the same user before it: one sorted stream per user."""
+    """For every error event the last click of the same user before it."""
     e = load(spark, sf_dir, "events")
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    last = F.last(F.when(F.col("event_type") == "click", F.col("event_id")), ignorenulls=True).over(w)
-    return e.select("event_id", "event_type", last.alias("click_id")).where("event_type = 'error'").select("event_id", "click_id")
+    found = last_before(e, "user_id", "ts", "event_id", F.when(F.col("event_type") == "click", F.col("event_id")))
+    return found.where("event_type = 'error'").select("event_id", F.col("last_value").alias("click_id"))
 
 
 def agg_rollup(spark, sf_dir):

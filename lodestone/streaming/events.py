@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_folder
@@ -39,8 +39,8 @@ def run_batches(stream: DataFrame, key: str, order: list[str]) -> DataFrame:
     base = f"{shared_folder(spark)}/lodestone/latest-{uuid.uuid4().hex}"
 
     def latest(df: DataFrame) -> DataFrame:
-        w = Window.partitionBy(key).orderBy(*[F.col(c).desc() for c in order])
-        return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+        rest = [c for c in df.columns if c != key]
+        return df.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_r")).select(key, "_r.*")
 
     def write(batch: DataFrame, number: int) -> None:
         latest(batch).write.mode("overwrite").parquet(f"{base}/out/batch={number}")
