@@ -86,10 +86,15 @@ def bare(c: Column) -> Column:
 _SIGNED = r"[A-Za-z0-9@$(|!\p{L}\p{N}]++"
 
 
+def _uncut() -> Column:
+    """The text without the words cut at a line end."""
+    return F.when(F.col("text").rlike(rf"[{HYPHENS}] ?\n"), F.regexp_replace(
+        "text", rf"(?<!\S)\S+[{HYPHENS}] ?\n\s*\S+", " ")).otherwise(F.col("text"))
+
+
 def vocabulary(chunks: DataFrame) -> DataFrame:
     """word and n: how often each word (hyphens kept) occurs inside the lines of all texts."""
-    inner = F.when(F.col("text").rlike(rf"[{HYPHENS}] ?\n"), F.regexp_replace("text", rf"(?<!\S)\S+[{HYPHENS}] ?\n\s*\S+", " ")).otherwise(F.col("text"))
-    return chunks.select(F.explode_outer(F.regexp_extract_all(inner, F.lit(rf"{_SIGNED}(?:-{_SIGNED})*+"), F.lit(0))).alias("word")).where(
+    return chunks.select(F.explode_outer(F.regexp_extract_all(_uncut(), F.lit(rf"{_SIGNED}(?:-{_SIGNED})*+"), F.lit(0))).alias("word")).where(
         F.length("word") >= 3).groupBy("word").agg(F.count("*").alias("n"))
 
 
@@ -149,16 +154,16 @@ def misread_words(chunks: DataFrame, words: DataFrame) -> DataFrame:
     bad = misreadings(parts)
     w = F.regexp_extract_all("text", F.lit(_SIGNED), F.lit(0))
     none = F.array(F.lit(None).cast("string"))
-    wrapped = chunks.where(F.col("text").rlike(r"(?<=[^\n]{24})[\p{L},0-9-] ?\n[^\n|\[]")).select("chunk_id", w.alias("w"))
+    wrapped = chunks.where(F.col("text").rlike(r"(?<=[^\n]{24})[\p{L},0-9-] ?\n[^\n|\[]")).select(
+        "chunk_id", F.regexp_extract_all(_uncut(), F.lit(_SIGNED), F.lit(0)).alias("w"))
     own = wrapped.select("chunk_id", F.explode_outer(F.arrays_zip(
         F.concat(none, "w").alias("before"), F.col("w").alias("word"), F.concat(F.slice("w", F.lit(2), F.size("w")), none).alias("after"))).alias("z")).select(
         "chunk_id", "z.before", "z.word", "z.after").where(F.length("word") >= 4)
-    found = own.join(bad, "word")
+    found = written(own.join(bad, "word"), "misread-found")  # read for the sure ones and for the contexts
     sure = found.where("sure").select("chunk_id", "word", "right")
     asked = found.where(~F.col("sure")).select("chunk_id", "word", "right", F.explode(F.array(
         F.struct(F.col("before").alias("x"), F.col("right").alias("y")), F.struct(F.col("right").alias("x"), F.col("after").alias("y")))).alias("p")).select(
         "chunk_id", "word", "right", "p.x", "p.y").where(F.col("x").isNotNull() & F.col("y").isNotNull())
-    asked = written(asked, "misread-contexts")
     wanted = asked.select("x", "y").distinct()
     if wanted.limit(_SMALL + 1).count() <= _SMALL:  # else Spark joins both sides by a shuffle
         wanted = F.broadcast(wanted)
