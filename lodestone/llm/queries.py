@@ -99,6 +99,13 @@ def p8_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"p4_found": p4_found, "p4_repaired": p4_repaired, "p2_found": p2_found, "p2_classes": p2_classes, "p3_found": p3_found, "p3_summary": p3_summary, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_report": p6_report, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_profile": p8_profile}
 
 ORACLE = {
+    "p2_found": r"""
+WITH c AS (SELECT DISTINCT chunk_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM retrieval_hits WHERE text IS NOT NULL AND chunk_id IS NOT NULL),
+s AS (SELECT DISTINCT chunk_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS r FROM (SELECT chunk_id, w, unnest(range(1, len(w) - 1)) AS i FROM c WHERE len(w) >= 20)),
+n AS (SELECT chunk_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.chunk_id AS x, b.chunk_id AS y, count(*) AS k FROM s a JOIN s b ON a.r = b.r AND a.chunk_id < b.chunk_id GROUP BY 1, 2)
+SELECT x AS chunk_id_a, y AS chunk_id_b FROM p JOIN n u ON x = u.chunk_id JOIN n v ON y = v.chunk_id WHERE 2 * k >= u.n + v.n - k
+""",
     "p5_found": r"""
 WITH c AS (SELECT DISTINCT chunk_id, text FROM retrieval_hits WHERE length(text) > 1600 AND chunk_id IS NOT NULL),
 par AS (SELECT chunk_id, text, list_max(list_transform(regexp_split_to_array(text, '\n[^\S\n]*\n\s*'), lambda p: length(trim(p)))) AS p,
