@@ -56,6 +56,7 @@ ORACLE = {
     "events_sliding": """SELECT start_s, count(*) AS n FROM (SELECT ts, unnest([b, b - 7200, b - 14400]) AS start_s FROM (SELECT ts, CAST(floor(epoch(ts) / 7200) AS BIGINT) * 7200 AS b FROM events)) GROUP BY 1""",
     "events_session": """WITH g AS (SELECT user_id, ts, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) < 7200000000 THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
         s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g) SELECT user_id, epoch_us(min(ts)) AS start_us, count(*) AS n FROM s GROUP BY user_id, s""",
+    "stream_tumbling": f"SELECT * FROM ({_T} GROUP BY 1, 2) WHERE start_s + 3600 <= (SELECT epoch(max(ts)) - 600 FROM events)",
     "stream_latest_state": "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
     "stream_deduplicated": "SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM (SELECT DISTINCT ON (event_id) * FROM events) GROUP BY 1, 2",
 }
