@@ -8,6 +8,7 @@ from ..functions.text import bm25_tokens
 from ..operators import corpus as C
 from ..operators import filters as P
 from ..operators import retrieval as R
+from ..session import written
 from ..tables import load
 from .corpus import CH, POST, chunk_postings
 
@@ -23,13 +24,22 @@ def _queries(spark, sf_dir):
     return c.groupBy(F.col("case_id").alias("query_id")).agg(F.max("query").alias("query"))
 
 
+def _index(spark, sf_dir):
+    """The postings as a table: each search reads them several times."""
+    return written(chunk_postings(spark, sf_dir), "postings")
+
+
+def _document_index(docs):
+    return written(C.postings(docs, "doc_id"), "document-postings")
+
+
 def bm25_topk(spark, sf_dir):
-    return R.bm25(_queries(spark, sf_dir), chunk_postings(spark, sf_dir), "chunk_id")
+    return R.bm25(_queries(spark, sf_dir), _index(spark, sf_dir), "chunk_id")
 
 
 def bm25_filtered_topk(spark, sf_dir):
     keep = _chunks(spark, sf_dir).where(FILTER.column())
-    return R.bm25(_queries(spark, sf_dir), chunk_postings(spark, sf_dir), "chunk_id", keep=keep)
+    return R.bm25(_queries(spark, sf_dir), _index(spark, sf_dir), "chunk_id", keep=keep)
 
 
 def _opening(docs):
@@ -40,7 +50,7 @@ def _opening(docs):
 def self_retrieval_hits(spark, sf_dir):
     """The opening words of every hundredth document as a query: the rank of that document itself."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
-    found = R.bm25(_opening(docs), C.postings(docs, "doc_id"), "doc_id", k=10)
+    found = R.bm25(_opening(docs), _document_index(docs), "doc_id", k=10)
     return found.where(F.col("doc_id") == F.col("query_id")).select("query_id", "rank", "score")
 
 
@@ -71,7 +81,7 @@ def multi_query_rrf(spark, sf_dir):
     variants = c.select(F.explode(F.array(
         F.struct(F.concat("case_id", F.lit("|a_query")).alias("query_id"), F.col("query").alias("query")),
         F.struct(F.concat("case_id", F.lit("|b_answer")).alias("query_id"), F.col("answer").alias("query")))).alias("v")).select("v.*")
-    found = R.bm25(variants, chunk_postings(spark, sf_dir), "chunk_id", k=20)
+    found = R.bm25(variants, _index(spark, sf_dir), "chunk_id", k=20)
     legs = found.select(F.split("query_id", r"\|")[0].alias("query_id"), F.split("query_id", r"\|")[1].alias("leg"), "chunk_id", F.col("rank").alias("leg_rank"))
     return R.fuse(legs, "chunk_id")
 
@@ -91,7 +101,7 @@ def document_hybrid_topk(spark, sf_dir):
     fused with the nearest vectors.  A vector stands for the document of its id;
     that pairing is made up, the tables have none."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
-    sparse = R.bm25(_opening(docs), C.postings(docs, "doc_id"), "doc_id", k=20).select("query_id", F.lit("sparse").alias("leg"), "doc_id", F.col("rank").alias("leg_rank"))
+    sparse = R.bm25(_opening(docs), _document_index(docs), "doc_id", k=20).select("query_id", F.lit("sparse").alias("leg"), "doc_id", F.col("rank").alias("leg_rank"))
     near = R.dense(_vec_queries(spark, sf_dir), load(spark, sf_dir, "embeddings"), k=20).select(
         "query_id", F.lit("dense").alias("leg"), F.col("vec_id").alias("doc_id"), F.col("rank").alias("leg_rank"))
     return R.fuse(sparse.unionByName(near), "doc_id")
