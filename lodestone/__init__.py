@@ -6,3 +6,9 @@ no other module imports it.
 """
 
 __version__ = "0.1.0"
+
+from pyspark import cloudpickle as _pickle
+
+# Functions that run inside tasks travel with the job, so that the workers need
+# no copy of the package on their path.
+_pickle.register_pickle_by_value(__import__(__name__))
