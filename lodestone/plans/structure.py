@@ -153,7 +153,7 @@ ORACLE = {
     "lost_blocks": f"""WITH {_B}, o AS (SELECT DISTINCT unnest(overlap_source_block_ids) AS block_id FROM retrieval_hits) SELECT regexp_replace(block_id, '_p[0-9]+_b[0-9]+$', '') AS paper, count(*) AS n_lost
         FROM o WHERE block_id NOT IN (SELECT block_id FROM b WHERE block_id IS NOT NULL) GROUP BY 1""",
     "heading_scores": f"""WITH h AS (SELECT DISTINCT section_heading AS h FROM retrieval_hits WHERE section_heading IS NOT NULL)
-        SELECT h AS section_heading, round({_HS}, 4) AS score, round(1 / (1 + exp(-({_HS} - 5.8) / 1.4)), 6) AS confidence, {_HS} >= 4.8 AS is_heading FROM h""",
+        SELECT h AS section_heading, round(CAST({_HS} AS DOUBLE), 4) AS score, round(1 / (1 + exp(-({_HS} - 5.8) / 1.4)), 6) AS confidence, {_HS} >= 4.8 AS is_heading FROM h""",
     "heading_levels": "SELECT CAST(len(heading_path) AS INTEGER) AS depth, heading_path[1] AS top, count(DISTINCT chunk_id) AS n_chunks FROM retrieval_hits GROUP BY 1, 2",
     "inferred_chunk_types": """WITH h AS (SELECT DISTINCT chunk_id, section, chunk_type, list_sort(list_distinct(list_transform(content_types, lambda x: CASE WHEN x = 'reference_entry' THEN 'reference' WHEN x IN ('caption', 'table', 'equation') THEN x ELSE 'text' END))) AS t FROM retrieval_hits)
         SELECT CASE WHEN section = 'references' THEN 'references' WHEN t = ['equation'] THEN 'equation' WHEN t = ['table'] OR t = ['caption', 'table'] THEN 'table'
