@@ -2,9 +2,9 @@
 
 Row-level checks (nothing said, query given back, broken off, other language)
 are column expressions.  Refusals are found through their openings: equal
-openings collapse first, MinHash bands bring similar ones together, each is
-verified against the first of its bucket, and an opening that recurs across
-unrelated prompts and declines is a refusal template.
+openings collapse first, MinHash bands bring similar ones together, all that
+share a bucket are compared, and an opening that recurs across unrelated
+prompts and declines is a refusal template.
 """
 
 from __future__ import annotations
@@ -102,30 +102,49 @@ def _least(shingles: Column, seed: int) -> Column:
     return F.array_min(F.transform(shingles, lambda x: F.xxhash64(x, F.lit(seed))))
 
 
+def _groups(links: DataFrame) -> DataFrame:
+    """oid, head of every linked opening: the smallest oid of its connected group.
+    The labels of a round are the smallest among an opening and its neighbours, and then
+    that label's own label, until nothing changes."""
+    edges = written(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "pair-links")
+    label = edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("head"))
+    label = written(label.select(F.col("a").alias("oid"), "head"), "pair-labels")
+    while True:
+        near = edges.join(label.select(F.col("oid").alias("b"), "head"), "b").groupBy(F.col("a").alias("oid")).agg(F.min("head").alias("near"))
+        step = label.join(near, "oid").select("oid", F.col("head").alias("was"), F.least("head", "near").alias("to"))
+        jump = step.join(label.select(F.col("oid").alias("to"), F.col("head").alias("on")), "to")
+        moved = written(jump.select("oid", F.least("to", "on").alias("head"), "was"), "pair-labels")
+        label = moved.select("oid", "head")
+        if not moved.where(F.col("head") < F.col("was")).take(1):
+            return label
+
+
 def opening_templates(openings: DataFrame, shingle: int = 5, similarity: float = 0.8, bands: int = 8, rows: int = 2,
-                      prompts: int = 3) -> DataFrame:
-    """Openings that recur across unrelated prompts: opening, support.
-
-    ``openings``: opening, n_prompts – one row per different opening.  Each is
-    compared, in every MinHash bucket it falls into, with the smallest opening of
-    that bucket; those at least ``similarity`` alike (Jaccard of word runs) form
-    one template, whose support is the number of prompts of all its openings.
-    A bucket is never listed or paired; its smallest opening comes from a
-    pre-aggregated minimum.
+                      prompts: int = 3, cell: int = 512) -> DataFrame:
+    """Openings that recur across unrelated prompts: opening, template, support.
+
+    ``openings``: opening, n_prompts – one row per different opening.  All openings
+    that share a MinHash bucket are compared; those at least ``similarity`` alike
+    (Jaccard of word runs), directly or through others, form one template, whose
+    support is the number of prompts of all its openings.  A bucket is joined in
+    cells of about ``cell`` openings, so that no task gets a large one whole.
     """
     known = openings.select("opening", "n_prompts", F.xxhash64("opening").alias("oid"))
     sh = known.select("oid", _shingles(F.col("opening"), shingle).alias("s"))
     keys = F.array(*[F.xxhash64(F.lit(b), *[_least(F.col("s"), b * rows + j) for j in range(rows)]) for b in range(bands)])
-    member = sh.select("oid", F.explode(keys).alias("key"))
-    first = member.groupBy("key").agg(F.min("oid").alias("head"), F.count("*").alias("n")).where("n > 1").select("key", "head")
-    links = member.join(first, "key").where(F.col("oid") != F.col("head")).select("oid", "head").distinct()
-    both = links.join(known.select("oid", F.col("opening").alias("x")), "oid").join(known.select(F.col("oid").alias("head"), F.col("opening").alias("y")), "head").select(
-        "oid", "head", _shingles(F.col("x"), shingle).alias("a"), _shingles(F.col("y"), shingle).alias("b"))
-    shared = both.select("oid", "head", F.size(F.array_intersect("a", "b")).alias("n"), (F.size("a") + F.size("b")).alias("m"))
-    own = shared.where(F.col("n") >= similarity * (F.col("m") - F.col("n"))).groupBy("oid").agg(F.min("head").alias("head"))
-    placed = known.join(own, "oid", "left").select("opening", "n_prompts", F.least("oid", F.coalesce("head", "oid")).alias("head"))
-    support = placed.groupBy("head").agg(F.sum("n_prompts").alias("support")).where(F.col("support") >= prompts)
-    return placed.join(support, "head").select("opening", "support")
+    runs = F.transform("s", lambda x: F.xxhash64(x))
+    member = written(sh.select("oid", runs.alias("s"), F.explode(keys).alias("key")), "pair-buckets")
+    cells = member.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / cell).cast("int").alias("cells"))
+    placed = member.join(cells, "key")
+    one = placed.select("key", F.pmod("oid", "cells").cast("int").alias("cell"), F.col("oid").alias("a"), F.col("s").alias("sa"))
+    other = placed.select("key", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), F.col("oid").alias("b"), F.col("s").alias("sb"))
+    m, n = F.size("sa") + F.size("sb"), F.size(F.array_intersect("sa", "sb"))
+    # sets of too unlike sizes cannot be alike enough
+    sized = F.least(F.size("sa"), F.size("sb")) >= F.greatest(F.size("sa"), F.size("sb")) * similarity - 1e-9
+    links = one.join(other, ["key", "cell"]).where((F.col("a") < F.col("b")) & sized & (n >= similarity * (m - n))).select("a", "b").distinct()
+    placed = known.join(_groups(links), "oid", "left").select("opening", "n_prompts", F.coalesce("head", "oid").alias("template"))
+    support = placed.groupBy("template").agg(F.sum("n_prompts").alias("support")).where(F.col("support") >= prompts)
+    return placed.join(support, "template").select("opening", "template", "support")
 
 
 def broken_pairs(records: DataFrame, prompts: int = 3) -> DataFrame:

@@ -41,6 +41,17 @@ def test_similar_openings_share_their_support(spark):
     assert got == {base: 3, base + " thanks": 3}
 
 
+def test_openings_linked_through_others_share_their_support(spark):
+    words = [f"w{i}" for i in range(29)]
+    # each begins one word later than the one before (19 of 21 runs shared); first and last share 15 of 25
+    chain = [(" ".join(words[k:k + 24]), 1) for k in range(6)]
+    # unlike the chain, but with runs of it, so that it heads many of its buckets
+    crowd = [(" ".join(words[5:17] + [f"y{i}z{j}" for j in range(12)]), 1) for i in range(300)]
+    for cell in (512, 16):
+        got = {r.opening: r.support for r in P.opening_templates(spark.createDataFrame(chain + crowd, "opening string, n_prompts long"), cell=cell).collect()}
+        assert got == {o: 6 for o, _ in chain}
+
+
 def test_edge_cases(spark):
     long = "The index is read by the system and merged with the list. " * 3000
     rows = [("case", "a", None, None, "", ""), ("case", "b", None, "The list is short.", "", ""), ("case", None, Q, None, "", ""), ("case", "c", Q, long, "", ""),
