@@ -4,7 +4,8 @@ Row-level checks (nothing said, query given back, broken off, other language)
 are column expressions.  Refusals are found through their openings: equal
 openings collapse first, MinHash bands bring similar ones together, all that
 share a bucket are compared, and an opening that recurs across unrelated
-prompts and declines is a refusal template.
+prompts is a template.  It is a refusal where most of its records decline by
+their wording, or where it says nothing but itself in wording of its own.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from .text import FUNCTION_WORDS, HAN, language, language_marks, squash
 _LABEL = r"(?i)(question|answer|response|frage|antwort|réponse|pregunta|respuesta|问题|回答|答案)\s*[:：]"
 _PLACEHOLDER = r"(?i)^\s*(n/?a|null|none|nil|nan|undefined|no (output|answer|response)|empty|leer|vide|vacío|无|空|暂无)\s*$"
 _DECLINES = (
-    r"(?i)(\b(cannot|can['’]t|could not|couldn['’]t|will not|won['’]t|unable to|not able to|(not|im)possible (for me )?to|prevents? me from|allowed to) "
+    r"(?i)(\b(cannot|can['’]t|could not|couldn['’]t|will not|won['’]t|unable to|not able to|(not possible|impossible) (for me )?to|prevents? me from|allowed to) "
     r"(answer|determine|respond|help|provide|say|give|tell|comment|discuss|find|be (answered|determined|given|generated))"
     r"|\bdecline\b|\bsorry\b|\binsufficient evidence\b|\bnot enough (evidence|information|context)|\bno answer (can|will|could)\b|\bapologi[sz]e\b"
     r"|\b(do|does) not contain enough\b|\bdo(n['’]t| not) have (access|enough)|\boutside what\b|\bprevent me from\b|\bnothing I can say\b"
@@ -31,6 +32,8 @@ _DECLINES = (
 )
 #: What follows a hedge that does answer after all.
 _BUT = r"(?i)[,;:.] (but(?! I )|however|still|yet|aber|doch|mais|pero)\b|[:：] ?\S+ |但"
+#: First words of a short answer that recurs and is none the less an answer.
+_YES = ("yes", "ja", "oui", "sí", "si", "是")
 _ANY_WORD = sorted({w for ws in FUNCTION_WORDS.values() for w in ws})
 
 
@@ -80,11 +83,14 @@ def _tokens(c: Column) -> Column:
     return F.filter(F.split(spaced, r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def _slotted(own: Column, text_tokens: Column, query_tokens: Column) -> Column:
-    """The first sentence (the first 24 words where that is very short), with a
-    slot for every run of the prompt's own words, so that a template shows the
-    same opening whatever it was asked about."""
-    opening = F.slice(F.when(F.size(own) >= 5, own).otherwise(text_tokens), 1, 24)
+def _opening(own: Column, text_tokens: Column) -> Column:
+    """The first sentence (the first 24 words where that is very short)."""
+    return F.slice(F.when(F.size(own) >= 5, own).otherwise(text_tokens), 1, 24)
+
+
+def _slotted(opening: Column, query_tokens: Column) -> Column:
+    """Words with a slot for every run of the prompt's own, so that a template
+    shows the same opening whatever it was asked about."""
     asked = F.coalesce(F.array_except(query_tokens, F.array(*map(F.lit, _ANY_WORD))), F.array().cast("array<string>"))
     slotted = F.transform(opening, lambda w: F.when(F.array_contains(asked, w), "*").otherwise(w))
     return F.regexp_replace(F.array_join(slotted, " "), r"\*( \*)+", "*")
@@ -147,6 +153,45 @@ def opening_templates(openings: DataFrame, shingle: int = 5, similarity: float =
     return placed.join(support, "template").select("opening", "template", "support")
 
 
+def _fixed(opening: Column) -> Column:
+    """The words of an opening that are no slots."""
+    return F.filter(F.split(opening, " "), lambda w: w != "*")
+
+
+def _runs(text: Column, k: int = 3) -> Column:
+    """Different runs of k words without a slot, as hashes."""
+    runs = F.filter(_shingles(text, k), lambda r: (F.size(F.split(r, " ")) == k) & ~F.contains(r, F.lit("*")))
+    return F.array_distinct(F.transform(runs, lambda r: F.xxhash64(r)))
+
+
+def refusal_templates(flags: DataFrame, template: DataFrame) -> DataFrame:
+    """The openings of the templates that are refusals.
+
+    ``flags``: opening, prompt, declines, tail, said – the records that say something;
+    ``template``: opening, template, support.  A template is a refusal if at least half of its
+    records decline by their wording, those that do not included.  Without such words
+    it is one if it answers nothing: its records go on in at most half as many ways as it has
+    prompts, it has six words or more besides its slots, none with a digit, does not begin
+    with a yes, and most of its word runs are wording of its own, met with fewer
+    prompts in all other records than in its own.
+    """
+    known = written(flags.join(template, "opening").groupBy("template").agg(
+        F.countDistinct("prompt").alias("n_prompts"), F.countDistinct("tail").alias("n_tails"), F.count_if("declines").alias("n_declines"),
+        F.count("*").alias("n"), F.min(F.struct(F.size(_fixed(F.col("opening"))), "opening"))["opening"].alias("plainest")), "pair-templates")
+    worded = F.col("n_declines") * 2 >= F.col("n")
+    fixed = _fixed(F.col("plainest"))
+    silent = known.where(~worded & (F.col("n_tails") * 2 <= F.col("n_prompts")) & (F.size(fixed) >= 6) & ~F.exists(fixed, lambda w: w.rlike(r"\p{N}")) & ~fixed[0].isin(*_YES))
+    runs = written(silent.select("template", "n_prompts", F.explode(_runs(F.col("plainest"))).alias("run")), "pair-runs")
+    answers = flags.where(~F.col("declines")).join(template.join(silent, "template", "left_semi"), "opening", "left_anti")
+    met = answers.select("prompt", F.explode(_runs(F.col("said"))).alias("run")).join(runs.select("run").distinct(), "run", "left_semi").groupBy("run").agg(
+        F.countDistinct("prompt").alias("n_met"))
+    common = F.coalesce("n_met", F.lit(0)) >= F.col("n_prompts")
+    own = runs.join(met, "run", "left").groupBy("template").agg(F.count_if(common).alias("n_common"), F.count("*").alias("n_runs")).where(
+        (F.col("n_runs") >= 3) & (F.col("n_common") * 2 < F.col("n_runs")))
+    refusing = known.where(worded).select("template").unionByName(own.select("template"))
+    return template.join(refusing, "template", "left_semi").select("opening")
+
+
 def broken_pairs(records: DataFrame, prompts: int = 3) -> DataFrame:
     """record_kind, record_id, defect of every record that is no usable response.
 
@@ -166,23 +211,22 @@ def broken_pairs(records: DataFrame, prompts: int = 3) -> DataFrame:
         language_marks(a).alias("ma"), language_marks(q).alias("mq"),
         _tokens(F.split(F.trim(a), r"(?<=[.!?])\s+|(?<=[。！？])")[0]).alias("own"), _tokens(F.left(a, F.lit(400))).alias("ta"), _tokens(q).alias("tq"),
     ).select(
-        "*", language(F.col("ma")).alias("la"), language(F.col("mq")).alias("lq"),
+        "*", _opening(F.col("own"), F.col("ta")).alias("start"), language(F.col("ma")).alias("la"), language(F.col("mq")).alias("lq"),
         F.coalesce(a.rlike(_DECLINES), F.lit(False)).alias("declines"), is_empty(a).alias("is_empty"),
     )
     flags = base.select(
-        "record_kind", "record_id", "prompt", "declines", _slotted(F.col("own"), F.col("ta"), F.col("tq")).alias("opening"),
+        "record_kind", "record_id", "prompt", "declines", _slotted(F.col("start"), F.col("tq")).alias("opening"), F.array_join("ta", " ").alias("said"),
+        # how it goes on; of long texts each has its own way
+        F.when(F.length(a) > 400, F.xxhash64(a)).otherwise(F.xxhash64(_slotted(F.slice(F.col("ta"), F.size("start") + 1, 400), F.col("tq")))).alias("tail"),
         F.when(F.col("is_empty"), "empty").when(F.coalesce(is_copy(F.col("sa"), F.col("sq")), F.lit(False)), "copy").alias("first_defect"),
         (F.col("declines") & (F.length(a) <= 400) & ~a.rlike(_BUT)).alias("plain"),
         F.when(F.coalesce(is_truncated(a), F.lit(False)), "truncated").when(F.coalesce(F.col("la") != F.col("lq"), F.lit(False)), "other_language").alias("last_defect"),
     )
-    # read three times below, so it is made once; texts do not go along
+    # read several times below, so it is made once; whole texts do not go along
     flags = written(flags, "pair-flags")
-    distinct = flags.where(F.col("first_defect").isNull() & (F.col("opening") != "")).groupBy("opening").agg(
-        F.countDistinct("prompt").alias("n_prompts"))
-    template = opening_templates(distinct, prompts=prompts)
-    doubtful = flags.where(F.col("first_defect").isNull() & F.col("declines"))
-    refusals = doubtful.join(template, "opening", "left").select(
-        "record_kind", "record_id", F.when(F.col("support").isNotNull() | F.col("plain"), "refusal").otherwise(F.col("last_defect")).alias("defect"))
-    rest = flags.where(~(F.col("first_defect").isNull() & F.col("declines"))).select(
-        "record_kind", "record_id", F.coalesce("first_defect", "last_defect").alias("defect"))
-    return rest.unionByName(refusals).where(F.col("defect").isNotNull())
+    speaks = flags.where(F.col("first_defect").isNull() & (F.col("opening") != ""))
+    distinct = speaks.groupBy("opening").agg(F.countDistinct("prompt").alias("n_prompts"))
+    template = written(opening_templates(distinct, prompts=prompts), "pair-openings")
+    refusing = refusal_templates(speaks, template).select("opening", F.lit(True).alias("refuses"))
+    defect = F.coalesce(F.col("first_defect"), F.when(F.col("refuses").isNotNull() | F.col("plain"), "refusal"), F.col("last_defect"))
+    return flags.join(refusing, "opening", "left").select("record_kind", "record_id", defect.alias("defect")).where(F.col("defect").isNotNull())

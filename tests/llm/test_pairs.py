@@ -52,6 +52,17 @@ def test_openings_linked_through_others_share_their_support(spark):
         assert got == {o: 6 for o, _ in chain}
 
 
+def test_refusal_templates_need_no_listed_word(spark):
+    asked = [f"What limits the ranked part{k} of System{k}x{k}?" for k in range(6)]
+    silent = [f"Regrettably that topic lies beyond my present remit, ask someone else about System{k}x{k}." for k in range(6)]
+    halting = ["It is not possible for me to determine this from what was provided."] * 6
+    said = [f"Besides, the cache depends on the number of passages that were found. It reads {k} of them." for k in range(6)]
+    also = ["Besides, the list depends on the number of passages that were found."] * 6
+    rows = [("case", f"{n}{k}", asked[k], a[k], "", "") for n, a in (("silent", silent), ("halting", halting), ("said", said), ("also", also)) for k in range(6)]
+    got = {r.record_id: r.defect for r in P.broken_pairs(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {f"{n}{k}": "refusal" for n in ("silent", "halting") for k in range(6)}
+
+
 def test_edge_cases(spark):
     long = "The index is read by the system and merged with the list. " * 3000
     rows = [("case", "a", None, None, "", ""), ("case", "b", None, "The list is short.", "", ""), ("case", None, Q, None, "", ""), ("case", "c", Q, long, "", ""),
