@@ -38,7 +38,7 @@ def stream_tumbling(spark, sf_dir):
 
 
 def stream_latest_state(spark, sf_dir):
-    s = E.read_stream(spark, f"{sf_dir}/events.parquet").select("user_id", "event_id", "ts", "event_type")
+    s = E.read_stream(spark, f"{sf_dir}/events.parquet", files=4).select("user_id", "event_id", "ts", "event_type")
     return E.run_batches(s, "user_id", ["ts", "event_id"]).select("user_id", "event_id", "event_type")
 
 

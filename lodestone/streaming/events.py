@@ -13,9 +13,16 @@ from pyspark.sql import functions as F
 from ..session import shared_folder
 
 
-def read_stream(spark: SparkSession, path: str, files: int = 4) -> DataFrame:
-    """A parquet file or folder as a stream; the schema is taken from its files."""
-    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files)
+def read_stream(spark: SparkSession, path: str, files: int | None = None) -> DataFrame:
+    """A parquet file or folder as a stream; the schema is taken from its files.
+
+    All files come in one trigger, so that a watermark finds nothing late however
+    the rows are spread over files.  ``files`` limits the files of a trigger, for
+    streams without a watermark.
+    """
+    stream = spark.readStream.schema(spark.read.parquet(path).schema)
+    if files:
+        stream = stream.option("maxFilesPerTrigger", files)
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     if place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory():
         return stream.parquet(path)

@@ -3,8 +3,10 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestone.plans import streams as S
 from lodestone.sources import jsonl, scholarly, store
 from lodestone.streaming import events as E
 
@@ -72,3 +74,15 @@ def test_streams_equal_batches(spark, tmp_path):
     s = E.read_stream(spark, str(tmp_path / "ev"), files=1)
     got = {r.user_id: r.event_id for r in E.run_batches(s, "user_id", ["ts", "event_id"]).collect()}
     assert got == {0: 498, 1: 499, 2: 497}
+
+
+def test_watermarked_streams_do_not_depend_on_the_files(spark, tmp_path):
+    df = spark.sql("SELECT id % 4000 event_id, 'type' || id % 3 event_type, timestamp_seconds(1700006400 + id % 4000 * 600) ts, id % 7 / 4D value FROM range(4400)")
+    df.repartition(16).write.parquet(str(tmp_path / "events.parquet"))
+    assert len(list((tmp_path / "events.parquet").glob("part-*"))) == 16
+    last = 1700006400 + 3999 * 600 - 600
+    want = sorted(tuple(r) for r in S.events_tumbling(spark, str(tmp_path)).collect() if r.start_s + 3600 <= last)
+    assert sorted(tuple(r) for r in S.stream_tumbling(spark, str(tmp_path)).collect()) == want
+    got = S.stream_deduplicated(spark, str(tmp_path)).groupBy("day").agg(F.sum("n").alias("n")).collect()
+    days = df.dropDuplicates(["event_id"]).groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).count().collect()
+    assert sorted(tuple(r) for r in got) == sorted(tuple(r) for r in days)
