@@ -129,8 +129,12 @@ def missing_entities(spark, sf_dir):
 
 
 def rerank_backend_scores(spark, sf_dir):
-    """The lexical reranker over the stored hits with text, through the backend slot."""
-    h = load(spark, sf_dir, "retrieval_hits").where("text IS NOT NULL AND fusion_rank <= 20").dropDuplicates(["hit_id"])
+    """The lexical reranker over the stored hits, through the backend slot.  A hit stored
+    without text is judged by the text of its chunk; hits of chunks without any stay out."""
+    hits = load(spark, sf_dir, "retrieval_hits")
+    h = hits.where("fusion_rank <= 20").groupBy("hit_id").agg(*[F.max(c).alias(c) for c in ("query_id", "chunk_id", "text")])
+    lacking = h.where("text IS NULL").drop("text").join(C.chunks(hits).where("text IS NOT NULL").select("chunk_id", "text"), "chunk_id")
+    h = h.where("text IS NOT NULL").unionByName(lacking)
     q = _answers(spark, sf_dir).select(F.col("case_id").alias("query_id"), F.col("query").alias("question"))
     rows = h.join(q, "query_id").select(F.col("hit_id").cast("string").alias("id"), "question", F.col("text").alias("passage"))
     return A.judge_with(rows, A.lexical_backend, "score double")

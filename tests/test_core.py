@@ -17,6 +17,7 @@ from lodestone.operators import memory as E
 from lodestone.operators import metrics as M
 from lodestone.operators import retrieval as R
 from lodestone.operators import structure as S
+from lodestone.plans import audit as audit_plans
 
 
 def test_core_does_not_need_the_corpus_subpackage():
@@ -173,3 +174,14 @@ def test_gap_sessions_and_carry(spark):
 @pytest.mark.parametrize("n, q, want", [(1, 0.9, 1), (11, 0.1, 2), (4, 0.5, 3)])
 def test_nearest_rank_rounds_half_to_even(spark, n, q, want):
     assert spark.range(1).select(S.nearest_rank(F.sequence(F.lit(1), F.lit(n)), q).alias("x")).first().x == want
+
+
+def test_hits_without_text_are_reranked_by_the_text_of_their_chunk(spark, tmp_path):
+    hits = [(1, "q1", "c1", 1, "the dense index"), (2, "q2", "c1", 2, None), (2, "q2", "c1", 2, None), (3, "q2", "c2", 3, None), (4, "q1", "c3", 21, "a list")]
+    kinds = {"page_start": "int", "page_end": "int", "has_equation": "boolean", "has_table": "boolean", "has_caption": "boolean"}
+    rest = {c: F.lit(None).cast(kinds.get(c, "string")) for c in C._FIELDS if c != "text"}
+    spark.createDataFrame(hits, "hit_id long, query_id string, chunk_id string, fusion_rank int, text string").withColumns(rest).write.parquet(str(tmp_path / "retrieval_hits.parquet"))
+    spark.createDataFrame([("q1", "dense index", "a"), ("q2", "dense index", "b")], "case_id string, query string, answer string").write.parquet(
+        str(tmp_path / "citation_audit_v1_queries.parquet"))
+    got = {r.id: r.score for r in audit_plans.rerank_backend_scores(spark, str(tmp_path)).collect()}
+    assert sorted(got) == ["1", "2"] and got["1"] == got["2"]
