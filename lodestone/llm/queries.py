@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..session import written
 from ..tables import load
 from . import leakage, mixing, near_duplicates, page_noise, pairs, reading_level, splitting
-from .text import chunk_texts, source_key
+from .text import chunk_texts, language_profiles, source_key
 
 
 def _near(spark: SparkSession, sf_dir: str):
@@ -36,7 +36,7 @@ def pair_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs.broken_pairs(pair_records(spark, sf_dir))
+    return pairs.broken_pairs(pair_records(spark, sf_dir), language_profiles(load(spark, sf_dir, "documents")))
 
 
 def p3_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +85,7 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
-    return reading_level.levels(docs, reading_level.fit(docs, load(spark, sf_dir, "level_labels")))
+    return reading_level.levels(docs, reading_level.fit(docs, load(spark, sf_dir, "level_labels")), reading_level.fit_languages(docs))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from lodestone.llm import reading_level as R
 
 DOCS = "doc_id long, text string, lang string, band string, w0 double"
@@ -31,10 +33,18 @@ def corpus(spark, n=160):
     return docs, spark.createDataFrame(labels, "doc_id long, rater string, band string")
 
 
+def languages(spark):
+    rnd = random.Random(4)
+    docs = [(i, text(rnd, b), "EN", "", 0.0) for i, b in enumerate(list(WORDS) * 5)]
+    docs += [(100 + i, "die Autoren und der Index ist nicht mit einer Liste von den Fragen und das Buch wird als Tabelle gelesen", "de", "", 0.0) for i in range(20)]
+    docs += [(200, docs[0][1], "de", "", 0.0), (201, None, "en", "", 0.0), (202, "x", None, "", 0.0)]  # a wrong label
+    return R.fit_languages(spark.createDataFrame(docs, DOCS))
+
+
 def test_held_out_accuracy_with_wrong_ratings(spark):
     docs, labels = corpus(spark)
     d = spark.createDataFrame(docs, DOCS)
-    got = {r.doc_id: r.band for r in R.levels(d, R.fit(d, labels)).collect()}
+    got = {r.doc_id: r.band for r in R.levels(d, R.fit(d, labels), languages(spark)).collect()}
     held = [i for i in range(80, 160)]
     assert sum(got[i] == list(WORDS)[i % 4] for i in held) >= 0.97 * len(held)
 
@@ -42,17 +52,25 @@ def test_held_out_accuracy_with_wrong_ratings(spark):
 def test_language_length_and_edge_cases(spark):
     docs, labels = corpus(spark)
     d = spark.createDataFrame(docs, DOCS)
-    model = R.fit(d, labels)
+    model, known = R.fit(d, labels), languages(spark)
+    assert 0 < model.count() <= R.BUCKETS + 1
     odd = spark.createDataFrame([
         (900, None, None, "", 0.0), (901, "", "en", "", 0.0), (902, "we read a book", "en", "", 0.0),
         (903, "die Autoren und der Index ist nicht mit einer Liste von den Fragen " * 8, "en", "", 0.0), (904, "这是一个关于检索的句子 " * 80, "en", "", 0.0),
         (905, "we look at the book and read it " * 20_000, None, "", 0.0), (None, "we look at a book " * 30, "en", "", 0.0),
         (906, ("We look at the big red book and our class can read it. " * 8).upper(), "de", "", 0.0),
     ], DOCS)
-    got = {r.doc_id: r.band for r in R.levels(odd, model).collect()}
+    got = {r.doc_id: r.band for r in R.levels(odd, model, known).collect()}
     assert got == {905: "basic", 906: "basic"}
-    assert R.levels(odd.limit(0), model).count() == 0
-    assert R.levels(d, R.fit(d, labels.limit(0))).where("margin IS NOT NULL").count() == 0
+    assert R.levels(odd.limit(0), model, known).count() == 0
+    assert R.levels(d, R.fit(d, labels.limit(0)), known).where("margin IS NOT NULL").count() == 0
+
+
+def test_share_of_a_band_decides_where_words_do_not(spark):
+    known = languages(spark)
+    same = spark.createDataFrame([(0, 1.0, 1.0, 1.0, 1.0), (-1, -3.0, -3.0, -0.2, -3.0)], "b int, w0 double, w1 double, w2 double, w3 double")
+    d = spark.createDataFrame([(1, "we read the book with our class and look at it " * 9, "en", "", 0.0)], DOCS)
+    assert R.levels(d, same.where("b < 0").unionByName(known.select("b", *[F.lit(-1.0).alias(f"w{k}") for k in range(4)])), known).first().band == "college"
 
 
 def test_profile(spark):
