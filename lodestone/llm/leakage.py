@@ -3,8 +3,12 @@
 Every document is cut into overlapping passages; TF-IDF vectors of hashed words
 are projected on the leading right singular vectors (randomised SVD, its products
 summed by Spark), and passages whose latent cosine with a passage of a test item
-is high make the item a candidate for the document.  Candidates are decided by
-the longest stretch both have in common, with a bounded share of errors.
+is high make the item a candidate for the document.  The item passages are indexed
+by random hyperplanes of the latent space, so a passage of the corpus is compared
+with those of equal keys only.  Candidates are decided by the words both have in
+common, in order, around the place where the passages meet: as one stretch with a
+bounded share of errors, or, for paraphrases, as a longest common subsequence
+together with the answer.
 """
 
 from __future__ import annotations
@@ -192,53 +196,77 @@ def latent_basis(encoded: DataFrame, weights: np.ndarray, n: int, sample: int =
     return basis[:, :KEPT]
 
 
+#: Index of the item passages: tables, hyperplanes per table, least sure planes that a query may miss.
+TABLES, PLANES, UNSURE = 10, 16, 4
+
+
+def hyperplanes(seed: int = 11) -> np.ndarray:
+    return np.random.default_rng(seed).standard_normal((KEPT, TABLES * PLANES)).astype(np.float32)
+
+
+def _keys(side: np.ndarray) -> np.ndarray:
+    """(rows, TABLES) keys of the sides on which vectors lie of all hyperplanes."""
+    bits = (side > 0).reshape(len(side), TABLES, PLANES)
+    return bits @ (1 << np.arange(PLANES))
+
+
+class _Index:
+    """Latent passages of one length and their owners, by the keys of every table.  A
+    passage stands under its own key and those that differ in one or two of its
+    ``UNSURE`` planes that it is nearest to."""
+
+    def __init__(self, vectors: np.ndarray, own: np.ndarray, at: np.ndarray, planes: np.ndarray):
+        self.vectors, self.own, self.at = vectors, own, at
+        side = vectors @ planes
+        keys = _keys(side)
+        near = np.argsort(np.abs(side).reshape(len(side), TABLES, PLANES), axis=2)[:, :, :UNSURE]
+        flips = [0 * near[:, :, 0]] + [1 << near[:, :, i] for i in range(UNSURE)]
+        flips += [(1 << near[:, :, i]) | (1 << near[:, :, j]) for i in range(UNSURE) for j in range(i)]
+        self.first, self.rows = [], []
+        for t in range(TABLES):
+            k = np.concatenate([keys[:, t] ^ f[:, t] for f in flips])
+            order = np.argsort(k, kind="stable")
+            self.first.append(np.searchsorted(k[order], np.arange((1 << PLANES) + 1)).astype(np.int32))
+            self.rows.append((order % len(keys)).astype(np.int32))
+
+    def near(self, v: np.ndarray, planes: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of ``v`` and of the index with a cosine of at least ``threshold``, of those that meet in a table."""
+        keys = _keys(v @ planes)
+        met = []
+        for t in range(TABLES):
+            first = self.first[t]
+            n = first[keys[:, t] + 1] - first[keys[:, t]]
+            x = np.repeat(np.arange(len(v)), n)
+            y = self.rows[t][np.repeat(first[keys[:, t]] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())]
+            met.append(x.astype(np.int64) * len(self.own) + y)
+        pair = np.unique(np.concatenate(met))
+        out = []
+        for k in range(0, len(pair), 100_000):  # bounded memory
+            x, y = np.divmod(pair[k : k + 100_000], len(self.own))
+            out.append(pair[k : k + 100_000][np.einsum("ij,ij->i", v[x], self.vectors[y]) >= threshold])
+        return np.divmod(np.concatenate(out) if out else pair, len(self.own))
+
+
 class _Items:
-    """Test items prepared for search: latent passages per length, word runs, words."""
+    """One block of test items prepared for search."""
 
-    def __init__(self, ids, coded, terms: np.ndarray, share: float):
+    def __init__(self, ids, coded, answers, terms: np.ndarray, planes: np.ndarray, share: float):
         self.ids = np.array(ids, np.int64)
         self.words = [np.frombuffer(w, np.uint32) for w in coded]
+        self.answers = [np.frombuffer(a, np.uint32) if a else np.empty(0, np.uint32) for a in answers]
         self.need = [math.ceil(len(w) * share) for w in self.words]
         scale = [max([k for k, p in enumerate(PASSAGES) if n >= p + STRIDE - 1], default=0) for n in self.need]
         self.scales = []
         for k, size in enumerate(PASSAGES):
-            own, vec = [], []
+            own, vec, at = [], [], []
             for i, w in enumerate(self.words):
                 if scale[i] == k and len(w):
-                    x = (w & np.uint32(HASHED - 1)).astype(np.int64)
-                    v = _sums(terms[x], _windows(x, size, size // 4), size)
-                    vec.append(v)
-                    own += [i] * len(v)
+                    start = _windows(w, size, size // 4)
+                    vec.append(_sums(terms[(w & np.uint32(HASHED - 1)).astype(np.int64)], start, size))
+                    own += [i] * len(start)
+                    at.append(start)
             if own:
-                self.scales.append((size, _unit(np.vstack(vec)), np.array(own)))
-        # runs of four words of all items, sorted, with the items that have each
-        pairs = [(r, i) for i, w in enumerate(self.words) if len(w) for r in np.unique(_runs(w))]
-        run = np.array([r for r, _ in pairs], np.uint64)
-        order = np.argsort(run, kind="stable")
-        self.run_items = np.array([i for _, i in pairs], np.int64)[order]
-        self.runs, self.run_first = np.unique(run[order], return_index=True)
-        self.run_count = np.diff(np.r_[self.run_first, len(order)])
-
-    def shared_runs(self, doc: np.ndarray) -> np.ndarray:
-        """Number of runs that each item has in common with a document."""
-        r = np.unique(_runs(doc))
-        at = np.minimum(np.searchsorted(self.runs, r), max(len(self.runs) - 1, 0))
-        at = at[self.runs[at] == r] if len(self.runs) else at[:0]
-        n = self.run_count[at]
-        first = np.repeat(self.run_first[at] - np.r_[0, np.cumsum(n)[:-1]], n)
-        return np.bincount(self.run_items[first + np.arange(n.sum())], minlength=len(self.ids))
-
-
-def _runs(w: np.ndarray, k: int = 4) -> np.ndarray:
-    """Hashes of the runs of ``k`` words (the whole text where it is shorter)."""
-    x = w.astype(np.uint64)
-    if len(x) < k:
-        x = np.r_[x, np.zeros(k - len(x), np.uint64)]
-    h = np.zeros(len(x) - k + 1, np.uint64)
-    for i in range(k):
-        h = (h ^ x[i : len(x) - k + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-    return h
+                self.scales.append((size, _Index(_unit(np.vstack(vec)), np.array(own), np.concatenate(at), planes)))
 
 
 def common_stretch(item: np.ndarray, doc: np.ndarray, need: int, errors: float) -> bool:
@@ -282,11 +310,48 @@ def _straight(item: np.ndarray, doc: np.ndarray, shift: int, need: int, errors:
     return bool((wrong[need:] <= np.maximum.accumulate(wrong[: len(wrong) - need]) + 1e-9).any())
 
 
-def _searcher(items: "_Items", terms_b, threshold: float, errors: float, batch_docs: int = 64):
+def _bag(item: np.ndarray, part: np.ndarray) -> int:
+    """Words of ``part`` that the item has, each as often as in the item at most: no alignment has more."""
+    a, n = np.unique(item, return_counts=True)
+    b, m = np.unique(part, return_counts=True)
+    at = np.minimum(np.searchsorted(a, b), len(a) - 1)
+    return int(np.minimum(n[at], m)[a[at] == b].sum())
+
+
+def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
+    """Length of the longest common subsequence of two word lists."""
+    best = np.zeros(len(b) + 1, np.int32)
+    for w in a:
+        new = best.copy()
+        np.maximum(new[1:], best[:-1] + (b == w), out=new[1:])
+        best = np.maximum.accumulate(new)
+    return int(best[-1])
+
+
+def _holds(part: np.ndarray, answer: np.ndarray) -> bool:
+    """Whether the words of the answer stand in ``part`` in a row (an empty answer stands nowhere)."""
+    n = len(answer)
+    if n == 0 or n > len(part):
+        return False
+    return bool((np.lib.stride_tricks.sliding_window_view(part, n) == answer).all(axis=1).any())
+
+
+def _leaked(item: np.ndarray, answer: np.ndarray, part: np.ndarray, shifts: list[int], need: int, errors: float) -> bool:
+    """The decision on exact and slightly edited copies."""
+    if _bag(item, part) < need - int(need * errors):
+        return False
+    return any(_straight(item, part, d, need, errors) for d in shifts) or common_stretch(item, part, need, errors)
+
+
+def _paraphrased(item: np.ndarray, answer: np.ndarray, part: np.ndarray, shifts: list[int], need: int, common: float) -> bool:
+    """The decision on paraphrases: the share ``common`` of the item's words in order, and its answer."""
+    least = math.ceil(len(item) * common)
+    return _holds(part, answer) and _bag(item, part) >= least and common_subsequence(item, part) >= least
+
+
+def _searcher(items: "_Items", terms_b, planes: np.ndarray, threshold: float, decide, bound: float, batch_docs: int = 64):
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         terms = terms_b.value
-        # of a stretch of n words with a tenth wrong, at least 0.6 n - 4 runs of four are whole
-        least = np.array([max(1, int(n * (1 - 4 * errors)) - 4) for n in items.need])
         for batch in batches:
             ids, coded = batch["id"].to_numpy(), [np.frombuffer(w, np.uint32) for w in batch["w"]]
             doc, item = [], []
@@ -295,84 +360,94 @@ def _searcher(items: "_Items", terms_b, threshold: float, errors: float, batch_d
                 # one running sum over all documents of the part; passages never cross a document
                 end = np.cumsum([len(w) for w in part])
                 sums = _running(terms[(np.concatenate(part) & np.uint32(HASHED - 1)).astype(np.int64)].astype(np.float32))
-                near = np.zeros((len(part), len(items.ids)), bool)
-                for size, q, own in items.scales:
+                met: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
+                for size, index in items.scales:
                     at = [_windows(w, size, STRIDE) for w in part]
                     of = np.repeat(np.arange(len(part)), [len(a) for a in at])
-                    a = np.concatenate(at) + (end - [len(w) for w in part])[of]
-                    v = _unit(sums[np.minimum(a + size, end[of])] - sums[a])
-                    for k in range(0, len(v), 512):
-                        block = v[k : k + 512]
-                        hit = np.flatnonzero(block @ q.T >= threshold)
-                        x, y = hit // len(q), hit % len(q)
-                        near[of[k + x], own[y]] = True
-                for d in np.flatnonzero(near.any(axis=1)):
-                    for i in np.flatnonzero(near[d] & (items.shared_runs(part[d]) >= least)):
-                        if _decide(items, i, part[d], errors):
-                            doc.append(ids[lo + d])
-                            item.append(items.ids[i])
+                    at = np.concatenate(at)
+                    a = at + (end - [len(w) for w in part])[of]
+                    x, y = index.near(_unit(sums[np.minimum(a + size, end[of])] - sums[a]), planes, threshold)
+                    for d, i, u, v in zip(of[x], index.own[y], at[x], index.at[y]):
+                        met.setdefault((d, i), []).append((u, v, size))
+                for (d, i), places in met.items():
+                    w, text, n = items.words[i], part[d], len(items.words[i])
+                    # around every place where passages meet, as far as the item may reach
+                    spans: list[list[int]] = []
+                    for u, v, size in sorted(places):
+                        a, b = max(0, u - v - n // 4 - 8), min(len(text), u - v + n + n // 4 + size)
+                        if spans and a <= spans[-1][1]:
+                            spans[-1][1] = max(b, spans[-1][1])
+                        else:
+                            spans.append([a, b])
+                    shifts = {u - v for u, v, _ in places}
+                    if any(decide(w, items.answers[i], text[a:b], [k - a for k in shifts if a <= k + n and k <= b], items.need[i], bound) for a, b in spans):
+                        doc.append(ids[lo + d])
+                        item.append(items.ids[i])
             yield pd.DataFrame({"doc_id": np.array(doc, np.int64), "item_id": np.array(item, np.int64)})
 
     return search
 
 
-def _decide(items: "_Items", i: int, doc: np.ndarray, errors: float) -> bool:
-    """The exact check, on the parts of the document that share runs with the item."""
-    w = items.words[i]
-    k = min(4, len(w), len(doc))
-    own, theirs = _runs(w, k), _runs(doc, k)
-    order = np.argsort(own, kind="stable")
-    place = np.minimum(np.searchsorted(own[order], theirs), len(own) - 1)
-    first = order[place]
-    shared = np.flatnonzero(own[first] == theirs)
-    if not len(shared):
-        return False
-    shifts, n = np.unique(shared - first[shared], return_counts=True)
-    if any(_straight(w, doc, int(d), items.need[i], errors) for d in shifts[np.argsort(-n)[:3]]):
-        return True
-    parts = np.split(shared, np.flatnonzero(np.diff(shared) > len(w)) + 1)
-    return any(common_stretch(w, doc[max(0, p[0] - len(w)) : p[-1] + len(w) + k], items.need[i], errors) for p in parts)
+def latent_terms(coded: DataFrame) -> np.ndarray:
+    """Weight and latent place of every hashed word: HASHED x KEPT, whatever the corpus."""
+    weights, n_docs = idf(coded)
+    return (weights[:, None] * latent_basis(coded, weights, n_docs)).astype(np.float32)
+
+
+def _search(documents: DataFrame, items: DataFrame, share: float, threshold: float, decide, bound: float, block: int, basis=latent_terms) -> DataFrame:
+    spark = documents.sparkSession
+    coded = written(encode(documents.select(F.col("doc_id").alias("id"), "text")), "leak-words")
+    terms, planes = basis(coded), hyperplanes()
+    terms_b = spark.sparkContext.broadcast(terms)
+    one = items.groupBy("item_id").agg(F.min(F.struct("text", *(["answer"] if "answer" in items.columns else []))).alias("r")).select("item_id", "r.*")
+    own = encode(one.select(F.col("item_id").alias("id"), "text"))
+    answer = encode(one.select(F.col("item_id").alias("id"), F.col("answer").alias("text"))).withColumnRenamed("w", "a") if "answer" in items.columns else None
+    own = own.join(answer, "id", "left") if answer is not None else own.withColumn("a", F.lit(None).cast("binary"))
+    own = written(own, "leak-items")
+    blocks = math.ceil(own.count() / block)
+    place = F.pmod(F.xxhash64("id"), F.lit(max(blocks, 1)))  # about ``block`` items each
+    out = spark.createDataFrame([], "doc_id long, item_id long")
+    for b in range(blocks):
+        rows = own.where(place == b).toPandas()  # one block of queries
+        held = _Items(rows["id"], rows["w"], rows["a"], terms, planes, share)
+        out = out.unionByName(coded.mapInPandas(_searcher(held, terms_b, planes, threshold, decide, bound), "doc_id long, item_id long"))
+    return out.distinct()
 
 
 def leaks(documents: DataFrame, items: DataFrame, share: float = 0.5, errors: float = 0.1, threshold: float = 0.85,
-          block: int = 2000) -> DataFrame:
+          block: int = 2000, basis=latent_terms) -> DataFrame:
     """doc_id, item_id of every document that contains an item.
 
     ``documents``: doc_id, text; ``items``: item_id, text.  A document contains an
     item if it holds at least ``share`` of its words in one stretch, in order,
-    with at most ``errors`` of them changed, added or dropped.  Items are the
-    query set; they are searched in blocks of ``block`` against all documents.
-    Null ids, null and wordless texts give no row; repeated rows collapse.
+    with at most ``errors`` of them changed, added or dropped.  Candidates are the
+    documents with a passage whose latent cosine with one of the item is at least
+    ``threshold``.  Items are the query set; they are searched in blocks of about
+    ``block`` against all documents.  Null ids, null and wordless texts give no row;
+    repeated rows collapse, of differing rows of an item the least counts.
     """
-    spark = documents.sparkSession
-    coded = written(encode(documents.select(F.col("doc_id").alias("id"), "text")), "leak-words")
-    weights, n_docs = idf(coded)
-    terms = (weights[:, None] * latent_basis(coded, weights, n_docs)).astype(np.float32)
-    terms_b = spark.sparkContext.broadcast(terms)
-    own = encode(items.select(F.col("item_id").alias("id"), "text").dropDuplicates(["id"])).withColumn(
-        "block", F.floor((F.row_number().over(_by_id()) - 1) / block))
-    own = written(own, "leak-items")
-    n = own.agg(F.coalesce(F.max("block"), F.lit(-1)).alias("n")).first()["n"]
-    out = None
-    for b in range(int(n) + 1):
-        rows = own.where(F.col("block") == b).select("id", "w").toPandas()  # one block of queries
-        found = coded.mapInPandas(_searcher(_Items(rows["id"], rows["w"], terms, share), terms_b, threshold, errors), "doc_id long, item_id long")
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        return spark.createDataFrame([], "doc_id long, item_id long")
-    return out.distinct()
+    return _search(documents, items, share, threshold, _leaked, errors, block, basis)
 
 
-def _by_id():
-    from pyspark.sql import Window
+def paraphrases(documents: DataFrame, items: DataFrame, common: float = 0.4, threshold: float = 0.7, block: int = 2000, basis=latent_terms) -> DataFrame:
+    """doc_id, item_id of every document that tells an item in other words.
 
-    return Window.orderBy("id")
+    ``items``: item_id, text, answer.  A document does if a passage of it has a latent
+    cosine of at least ``threshold`` with one of the item, and around that place it has
+    at least the share ``common`` of the item's words in order, and the words of the
+    answer.  Items without answer give no row; else as :func:`leaks`.
+    """
+    return _search(documents, items, 0.5, threshold, _paraphrased, common, block, basis)
 
 
 def report(found: DataFrame, documents: DataFrame, items: DataFrame) -> DataFrame:
     """Per test item: number of documents with it, and of those that also hold its
-    answer as a word of its own."""
-    held = found.join(documents.select("doc_id", F.lower("text").alias("t")), "doc_id").join(
-        items.select("item_id", "suite", F.lower(F.trim("answer")).alias("a")).dropDuplicates(["item_id"]), "item_id")
-    answered = F.array_contains(F.split("t", r"[^\p{L}\p{N}]+"), F.col("a"))
+    answer, word by word (letters and digits, whatever stands between the words)."""
+    held = found.join(documents.select("doc_id", _flat(F.col("text")).alias("t")), "doc_id").join(
+        items.groupBy("item_id").agg(F.min(F.struct("suite", "answer")).alias("r")).select("item_id", "r.suite", _flat(F.col("r.answer")).alias("a")), "item_id")
+    answered = (F.length("a") > 2) & F.contains("t", F.col("a"))
     return held.groupBy("item_id", "suite").agg(F.count("*").alias("n_docs"), F.count(F.when(answered, 1)).alias("n_with_answer"))
+
+
+def _flat(c):
+    return F.concat(F.lit(" "), F.btrim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))

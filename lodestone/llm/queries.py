@@ -66,10 +66,26 @@ def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({c: F.array_join(c, ",") for c in ("source_block_ids", "overlap_source_block_ids")})
 
 
+def p5_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per oversized chunk what its pieces hold: characters but white space without the
+    overlap, whether every piece keeps the limit and repeats at most 200 characters,
+    whether the pieces are numbered without a gap, and the weakest cut."""
+    chunks = chunk_texts(load(spark, sf_dir, "retrieval_hits").where(F.length("text") > 1600), "section", "source_block_ids", "overlap_source_block_ids")
+    own = F.regexp_replace(F.substring("piece_text", F.col("overlap_chars") + 1, F.length("piece_text")), r"\s", "")
+    kinds = F.array(*map(F.lit, splitting.CUTS))
+    return splitting.pieces(chunks).groupBy("chunk_id").agg(
+        F.sum(F.length(own)).alias("n_chars"), (F.max(F.length("piece_text")) <= 1600).alias("in_limit"), (F.max("overlap_chars") <= 200).alias("short_overlap"),
+        (F.count("*") == F.max("piece_no")).alias("numbered"), kinds[F.max(F.coalesce(F.array_position(kinds, F.col("cut")), F.lit(1))).cast("int") - 1].alias("boundary"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "eval_items"))
 
 
+def p6_paraphrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.paraphrases(load(spark, sf_dir, "documents"), load(spark, sf_dir, "eval_items"))
+
+
 def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.report(p6_found(spark, sf_dir), load(spark, sf_dir, "documents"), load(spark, sf_dir, "eval_items"))
 
@@ -96,7 +112,17 @@ def p8_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading_level.profile(p8_found(spark, sf_dir), load(spark, sf_dir, "documents"), source_key(F.col("source")))
 
 
-QUERIES = {"p4_found": p4_found, "p4_repaired": p4_repaired, "p2_found": p2_found, "p2_classes": p2_classes, "p3_found": p3_found, "p3_summary": p3_summary, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_report": p6_report, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_profile": p8_profile}
+QUERIES = {"p4_found": p4_found, "p4_repaired": p4_repaired, "p2_found": p2_found, "p2_classes": p2_classes, "p3_found": p3_found, "p3_summary": p3_summary, "p5_found": p5_found, "p5_pieces": p5_pieces, "p5_check": p5_check, "p6_found": p6_found, "p6_report": p6_report, "p6_paraphrases": p6_paraphrases, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_profile": p8_profile}
+
+_P5 = r"""
+WITH c AS (SELECT DISTINCT chunk_id, text FROM retrieval_hits WHERE length(text) > 1600 AND chunk_id IS NOT NULL),
+par AS (SELECT chunk_id, text, list_max(list_transform(regexp_split_to_array(text, '\n[^\S\n]*\n\s*'), lambda p: length(trim(p)))) AS p,
+  list_max(list_transform(regexp_split_to_array(
+    regexp_replace(regexp_replace(regexp_replace(text, '\n[^\S\n]*\n\s*', chr(1), 'g'), '([.!?])\s+', '\1' || chr(1), 'g'), '([。！？])', '\1' || chr(1), 'g'),
+    chr(1)), lambda p: length(trim(p)))) AS s,
+  list_max(list_transform(regexp_split_to_array(text, '\s+'), lambda p: length(p))) AS w FROM c),
+found AS (SELECT chunk_id, text, CASE WHEN p <= 1600 THEN 'paragraph' WHEN s <= 1600 THEN 'sentence' WHEN w <= 1600 THEN 'word' ELSE 'none' END AS boundary FROM par)
+"""
 
 ORACLE = {
     "p2_found": r"""
@@ -106,13 +132,6 @@ n AS (SELECT chunk_id, count(*) AS n FROM s GROUP BY 1),
 p AS (SELECT a.chunk_id AS x, b.chunk_id AS y, count(*) AS k FROM s a JOIN s b ON a.r = b.r AND a.chunk_id < b.chunk_id GROUP BY 1, 2)
 SELECT x AS chunk_id_a, y AS chunk_id_b FROM p JOIN n u ON x = u.chunk_id JOIN n v ON y = v.chunk_id WHERE 2 * k >= u.n + v.n - k
 """,
-    "p5_found": r"""
-WITH c AS (SELECT DISTINCT chunk_id, text FROM retrieval_hits WHERE length(text) > 1600 AND chunk_id IS NOT NULL),
-par AS (SELECT chunk_id, text, list_max(list_transform(regexp_split_to_array(text, '\n[^\S\n]*\n\s*'), lambda p: length(trim(p)))) AS p,
-  list_max(list_transform(regexp_split_to_array(
-    regexp_replace(regexp_replace(regexp_replace(text, '\n[^\S\n]*\n\s*', chr(1), 'g'), '([.!?])\s+', '\1' || chr(1), 'g'), '([。！？])', '\1' || chr(1), 'g'),
-    chr(1)), lambda p: length(trim(p)))) AS s,
-  list_max(list_transform(regexp_split_to_array(text, '\s+'), lambda p: length(p))) AS w FROM c)
-SELECT chunk_id, CASE WHEN p <= 1600 THEN 'paragraph' WHEN s <= 1600 THEN 'sentence' WHEN w <= 1600 THEN 'word' ELSE 'none' END AS boundary FROM par
-""",
+    "p5_found": _P5 + "SELECT chunk_id, boundary FROM found",
+    "p5_check": _P5 + r"""SELECT chunk_id, length(regexp_replace(text, '\s', '', 'g')) AS n_chars, true AS in_limit, true AS short_overlap, true AS numbered, boundary FROM found""",
 }

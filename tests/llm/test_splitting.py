@@ -38,6 +38,26 @@ def test_boundaries(spark):
     assert got == {"c0": "paragraph", "c1": "sentence", "c2": "word", "c3": "none"}
 
 
+def test_paragraphs_that_only_fit_whole_are_not_cut(spark):
+    par = "\n\n".join(["Abc def ghi. " * 5 + "x" * k for k in (10, 33, 20, 34)])  # up to 99 of 100 characters: no room for an overlap of 20
+    rows = S.pieces(frame(spark, [par]), limit=100, overlap=20).collect()
+    assert {r.cut for r in rows} == {None, "paragraph"} and len(rows) == 4
+    check(rows, par, 100, 20)
+    assert S.oversized(frame(spark, [par]), 100, 20).first().boundary == "paragraph"
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.sampled_from(["alpha", "beta.", "gamma!", "\n\n", "这是一句。", "x" * 90, "y" * 115, "\n", "  "]), min_size=30, max_size=120))
+def test_weakest_cut_is_the_coarsest_that_fits(spark, parts):
+    text = " ".join(parts).strip()
+    sentences = lambda t: re.split(r"(?<=[.!?])\s+|(?<=[。！？])", t)
+    pars = re.split(r"\n[^\S\n]*\n\s*", text)
+    fits = lambda xs: all(len(x.strip()) <= 120 for x in xs)
+    want = "paragraph" if fits(pars) else "sentence" if fits(y for x in pars for y in sentences(x)) else "word" if fits(text.split()) else "none"
+    got = S.oversized(frame(spark, [text]), 120, 40).collect()
+    assert [r.boundary for r in got] == ([want] if len(text) > 120 else [])
+
+
 def test_blocks_follow_paragraphs(spark):
     text = "\n\n".join(f"Paragraph number {k} has a sentence of its own. It ends here {k}." for k in range(4))
     rows = sorted(S.pieces(frame(spark, [text], ["b1", "b2", "b3", "b4"]), limit=100, overlap=30).collect(), key=lambda r: r.piece_no)
