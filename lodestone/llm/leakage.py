@@ -213,11 +213,13 @@ def _keys(side: np.ndarray) -> np.ndarray:
 class _Index:
     """Latent passages of one length and their owners, by the keys of every table.  A
     passage stands under its own key and those that differ in one or two of its
-    ``UNSURE`` planes that it is nearest to."""
+    ``UNSURE`` planes that it is nearest to.  The planes pass through the middle of the
+    passages, so that the keys are spread."""
 
     def __init__(self, vectors: np.ndarray, own: np.ndarray, at: np.ndarray, planes: np.ndarray):
         self.vectors, self.own, self.at = vectors, own, at
-        side = vectors @ planes
+        self.middle = vectors.mean(axis=0) @ planes
+        side = vectors @ planes - self.middle
         keys = _keys(side)
         near = np.argsort(np.abs(side).reshape(len(side), TABLES, PLANES), axis=2)[:, :, :UNSURE]
         flips = [0 * near[:, :, 0]] + [1 << near[:, :, i] for i in range(UNSURE)]
@@ -231,7 +233,7 @@ class _Index:
 
     def near(self, v: np.ndarray, planes: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
         """Rows of ``v`` and of the index with a cosine of at least ``threshold``, of those that meet in a table."""
-        keys = _keys(v @ planes)
+        keys = _keys(v @ planes - self.middle)
         met = []
         for t in range(TABLES):
             first = self.first[t]
@@ -250,7 +252,7 @@ class _Index:
 class _Items:
     """One block of test items prepared for search."""
 
-    def __init__(self, ids, coded, answers, terms: np.ndarray, planes: np.ndarray, share: float):
+    def __init__(self, ids, coded, answers, terms: np.ndarray, planes: np.ndarray, share: float, rule: "Copies | Paraphrases"):
         self.ids = np.array(ids, np.int64)
         self.words = [np.frombuffer(w, np.uint32) for w in coded]
         self.answers = [np.frombuffer(a, np.uint32) if a else np.empty(0, np.uint32) for a in answers]
@@ -267,6 +269,34 @@ class _Items:
                     at.append(start)
             if own:
                 self.scales.append((size, _Index(_unit(np.vstack(vec)), np.array(own), np.concatenate(at), planes)))
+        # runs of the rule's length of all items, sorted, with the items that have each
+        grams = [np.unique(_runs(w, rule.run)) for w in self.words]
+        own = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
+        run = np.concatenate(grams) if grams else np.empty(0, np.uint64)
+        order = np.argsort(run, kind="stable")
+        self.run_items = own[order]
+        self.runs, self.run_first = np.unique(run[order], return_index=True)
+        self.run_count = np.diff(np.r_[self.run_first, len(order)])
+        self.least = np.array([rule.least(w, n) for w, n in zip(self.words, self.need)])
+
+    def possible(self, doc: np.ndarray, k: int) -> np.ndarray:
+        """Whether a document has as many different runs of each item as the rule asks for at the least."""
+        r = np.unique(_runs(doc, k))
+        at = np.minimum(np.searchsorted(self.runs, r), max(len(self.runs) - 1, 0))
+        at = at[self.runs[at] == r] if len(self.runs) else at[:0]
+        n = self.run_count[at]
+        rows = np.repeat(self.run_first[at] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+        return np.bincount(self.run_items[rows], minlength=len(self.ids)) >= self.least
+
+
+def _runs(w: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of the runs of ``k`` words (none where the text is shorter)."""
+    x = w.astype(np.uint64)
+    h = np.zeros(max(len(x) - k + 1, 0), np.uint64)
+    for i in range(k):
+        h = (h ^ x[i : len(x) - k + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return h
 
 
 def common_stretch(item: np.ndarray, doc: np.ndarray, need: int, errors: float) -> bool:
@@ -336,20 +366,69 @@ def _holds(part: np.ndarray, answer: np.ndarray) -> bool:
     return bool((np.lib.stride_tricks.sliding_window_view(part, n) == answer).all(axis=1).any())
 
 
-def _leaked(item: np.ndarray, answer: np.ndarray, part: np.ndarray, shifts: list[int], need: int, errors: float) -> bool:
-    """The decision on exact and slightly edited copies."""
-    if _bag(item, part) < need - int(need * errors):
+class Copies:
+    """The rule for exact and slightly edited copies: one stretch of ``need`` item words
+    or more with the share ``errors`` of them wrong at most."""
+
+    run = 2
+
+    def __init__(self, errors: float):
+        self.errors = errors
+
+    def least(self, item: np.ndarray, need: int) -> int:
+        """Every error spoils two pairs of successive words at most; pairs that the item repeats count once."""
+        return need - 1 - 2 * int(len(item) * self.errors) - (max(len(item) - 1, 0) - len(np.unique(_runs(item, 2))))
+
+    def holds(self, item: np.ndarray, answer: np.ndarray, doc: np.ndarray, places: np.ndarray, need: int) -> bool:
+        own, theirs = _runs(item, 2), _runs(doc, 2)
+        order = np.argsort(own, kind="stable")
+        if len(own):
+            first = order[np.minimum(np.searchsorted(own[order], theirs), len(own) - 1)]
+            shared = np.flatnonzero(own[first] == theirs)
+        else:
+            first = shared = np.empty(0, np.int64)
+        # only where enough of the pairs stand together can there be a stretch
+        wrong = int(len(item) * self.errors)
+        pairs, reach = need - 1 - 2 * wrong, need + wrong
+        if pairs <= 0:
+            return common_stretch(item, doc, need, self.errors)
+        if len(shared) < pairs:
+            return False
+        dense = np.flatnonzero(shared[pairs - 1 :] - shared[: len(shared) - pairs + 1] < reach)
+        if not len(dense):
+            return False
+        shifts, n = np.unique(shared - first[shared], return_counts=True)
+        if any(_straight(item, doc, int(d), need, self.errors) for d in shifts[np.argsort(-n)[:3]]):
+            return True
+        lo, hi = shared[dense] - len(item), shared[dense + pairs - 1] + len(item) + 2
+        cut = np.flatnonzero(lo[1:] > np.maximum.accumulate(hi)[:-1]) + 1
+        return any(common_stretch(item, doc[max(0, a.min()) : b.max()], need, self.errors) for a, b in zip(np.split(lo, cut), np.split(hi, cut)))
+
+
+class Paraphrases:
+    """The rule for an item told in other words: around a place where passages meet, the
+    share ``common`` of the item's words in order, and the words of its answer."""
+
+    run = 1
+
+    def __init__(self, common: float):
+        self.common = common
+
+    def least(self, item: np.ndarray, need: int) -> int:
+        return math.ceil(len(item) * self.common) - (len(item) - len(np.unique(item)))
+
+    def holds(self, item: np.ndarray, answer: np.ndarray, doc: np.ndarray, places: np.ndarray, need: int) -> bool:
+        if not _holds(doc, answer):
+            return False
+        n, least = len(item), math.ceil(len(item) * self.common)
+        for shift in np.unique(places // 16) * 16:
+            part = doc[max(0, shift - n // 2) : shift + n + n // 2 + 16]
+            if _holds(part, answer) and _bag(item, part) >= least and common_subsequence(item, part) >= least:
+                return True
         return False
-    return any(_straight(item, part, d, need, errors) for d in shifts) or common_stretch(item, part, need, errors)
-
-
-def _paraphrased(item: np.ndarray, answer: np.ndarray, part: np.ndarray, shifts: list[int], need: int, common: float) -> bool:
-    """The decision on paraphrases: the share ``common`` of the item's words in order, and its answer."""
-    least = math.ceil(len(item) * common)
-    return _holds(part, answer) and _bag(item, part) >= least and common_subsequence(item, part) >= least
 
 
-def _searcher(items: "_Items", terms_b, planes: np.ndarray, threshold: float, decide, bound: float, batch_docs: int = 64):
+def _searcher(items: "_Items", terms_b, planes: np.ndarray, threshold: float, rule: "Copies | Paraphrases", batch_docs: int = 64):
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         terms = terms_b.value
         for batch in batches:
@@ -360,29 +439,26 @@ def _searcher(items: "_Items", terms_b, planes: np.ndarray, threshold: float, de
                 # one running sum over all documents of the part; passages never cross a document
                 end = np.cumsum([len(w) for w in part])
                 sums = _running(terms[(np.concatenate(part) & np.uint32(HASHED - 1)).astype(np.int64)].astype(np.float32))
-                met: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
+                met, place = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
                 for size, index in items.scales:
                     at = [_windows(w, size, STRIDE) for w in part]
                     of = np.repeat(np.arange(len(part)), [len(a) for a in at])
                     at = np.concatenate(at)
                     a = at + (end - [len(w) for w in part])[of]
                     x, y = index.near(_unit(sums[np.minimum(a + size, end[of])] - sums[a]), planes, threshold)
-                    for d, i, u, v in zip(of[x], index.own[y], at[x], index.at[y]):
-                        met.setdefault((d, i), []).append((u, v, size))
-                for (d, i), places in met.items():
-                    w, text, n = items.words[i], part[d], len(items.words[i])
-                    # around every place where passages meet, as far as the item may reach
-                    spans: list[list[int]] = []
-                    for u, v, size in sorted(places):
-                        a, b = max(0, u - v - n // 4 - 8), min(len(text), u - v + n + n // 4 + size)
-                        if spans and a <= spans[-1][1]:
-                            spans[-1][1] = max(b, spans[-1][1])
-                        else:
-                            spans.append([a, b])
-                    shifts = {u - v for u, v, _ in places}
-                    if any(decide(w, items.answers[i], text[a:b], [k - a for k in shifts if a <= k + n and k <= b], items.need[i], bound) for a, b in spans):
-                        doc.append(ids[lo + d])
-                        item.append(items.ids[i])
+                    met.append(of[x] * len(items.ids) + index.own[y])
+                    place.append(at[x] - index.at[y])
+                met, place = np.concatenate(met), np.concatenate(place)
+                order = np.argsort(met, kind="stable")
+                met, place = met[order], place[order]
+                pair, first = np.unique(met, return_index=True)
+                last = np.r_[first[1:], len(met)]
+                d, i = np.divmod(pair, max(len(items.ids), 1))
+                able = {int(k): items.possible(part[k], rule.run) for k in np.unique(d)}
+                for p in range(len(pair)):
+                    if able[d[p]][i[p]] and rule.holds(items.words[i[p]], items.answers[i[p]], part[d[p]], place[first[p] : last[p]], items.need[i[p]]):
+                        doc.append(ids[lo + d[p]])
+                        item.append(items.ids[i[p]])
             yield pd.DataFrame({"doc_id": np.array(doc, np.int64), "item_id": np.array(item, np.int64)})
 
     return search
@@ -394,7 +470,7 @@ def latent_terms(coded: DataFrame) -> np.ndarray:
     return (weights[:, None] * latent_basis(coded, weights, n_docs)).astype(np.float32)
 
 
-def _search(documents: DataFrame, items: DataFrame, share: float, threshold: float, decide, bound: float, block: int, basis=latent_terms) -> DataFrame:
+def _search(documents: DataFrame, items: DataFrame, share: float, threshold: float, rule, block: int, basis=latent_terms) -> DataFrame:
     spark = documents.sparkSession
     coded = written(encode(documents.select(F.col("doc_id").alias("id"), "text")), "leak-words")
     terms, planes = basis(coded), hyperplanes()
@@ -409,8 +485,8 @@ def _search(documents: DataFrame, items: DataFrame, share: float, threshold: flo
     out = spark.createDataFrame([], "doc_id long, item_id long")
     for b in range(blocks):
         rows = own.where(place == b).toPandas()  # one block of queries
-        held = _Items(rows["id"], rows["w"], rows["a"], terms, planes, share)
-        out = out.unionByName(coded.mapInPandas(_searcher(held, terms_b, planes, threshold, decide, bound), "doc_id long, item_id long"))
+        held = _Items(rows["id"], rows["w"], rows["a"], terms, planes, share, rule)
+        out = out.unionByName(coded.mapInPandas(_searcher(held, terms_b, planes, threshold, rule), "doc_id long, item_id long"))
     return out.distinct()
 
 
@@ -426,7 +502,7 @@ def leaks(documents: DataFrame, items: DataFrame, share: float = 0.5, errors: fl
     ``block`` against all documents.  Null ids, null and wordless texts give no row;
     repeated rows collapse, of differing rows of an item the least counts.
     """
-    return _search(documents, items, share, threshold, _leaked, errors, block, basis)
+    return _search(documents, items, share, threshold, Copies(errors), block, basis)
 
 
 def paraphrases(documents: DataFrame, items: DataFrame, common: float = 0.4, threshold: float = 0.7, block: int = 2000, basis=latent_terms) -> DataFrame:
@@ -437,7 +513,7 @@ def paraphrases(documents: DataFrame, items: DataFrame, common: float = 0.4, thr
     at least the share ``common`` of the item's words in order, and the words of the
     answer.  Items without answer give no row; else as :func:`leaks`.
     """
-    return _search(documents, items, 0.5, threshold, _paraphrased, common, block, basis)
+    return _search(documents, items, 0.5, threshold, Paraphrases(common), block, basis)
 
 
 def report(found: DataFrame, documents: DataFrame, items: DataFrame) -> DataFrame:
