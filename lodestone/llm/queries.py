@@ -90,13 +90,24 @@ def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.report(p6_found(spark, sf_dir), load(spark, sf_dir, "documents"), load(spark, sf_dir, "eval_items"))
 
 
+def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    counted = written(mixing.token_counts(load(spark, sf_dir, "documents")), "mix-tokens")
+    targets = load(spark, sf_dir, "source_targets")
+    return mixing.mix(counted, targets), counted, targets
+
+
 def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = mixing.token_counts(load(spark, sf_dir, "documents"))
-    return mixing.mix(written(counted, "mix-tokens"), load(spark, sf_dir, "source_targets"))
+    return _mixed(spark, sf_dir)[0]
 
 
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.shares(p7_mix(spark, sf_dir), load(spark, sf_dir, "source_targets"))
+    chosen, _, targets = _mixed(spark, sf_dir)
+    return mixing.shares(chosen, targets)
+
+
+def p7_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chosen, counted, targets = _mixed(spark, sf_dir)
+    return mixing.margins(written(chosen, "mix-chosen"), counted, targets)
 
 
 def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,7 +123,7 @@ def p8_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading_level.profile(p8_found(spark, sf_dir), load(spark, sf_dir, "documents"), source_key(F.col("source")))
 
 
-QUERIES = {"p4_found": p4_found, "p4_repaired": p4_repaired, "p2_found": p2_found, "p2_classes": p2_classes, "p3_found": p3_found, "p3_summary": p3_summary, "p5_found": p5_found, "p5_pieces": p5_pieces, "p5_check": p5_check, "p6_found": p6_found, "p6_report": p6_report, "p6_paraphrases": p6_paraphrases, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_profile": p8_profile}
+QUERIES = {"p4_found": p4_found, "p4_repaired": p4_repaired, "p2_found": p2_found, "p2_classes": p2_classes, "p3_found": p3_found, "p3_summary": p3_summary, "p5_found": p5_found, "p5_pieces": p5_pieces, "p5_check": p5_check, "p6_found": p6_found, "p6_report": p6_report, "p6_paraphrases": p6_paraphrases, "p7_mix": p7_mix, "p7_shares": p7_shares, "p7_margins": p7_margins, "p8_found": p8_found, "p8_profile": p8_profile}
 
 _P5 = r"""
 WITH c AS (SELECT DISTINCT chunk_id, text FROM retrieval_hits WHERE length(text) > 1600 AND chunk_id IS NOT NULL),

@@ -75,9 +75,79 @@ def test_edge_cases(spark):
     assert L.leaks(docs.limit(0), items).count() == 0 and L.leaks(docs, items.limit(0)).count() == 0
 
 
+def told_otherwise(spark):
+    """Topics with a pair of words for each notion; documents use either word at random."""
+    rnd = random.Random(8)
+    notions = [[(f"a{t}x{k}", f"b{t}x{k}") for k in range(12)] for t in range(12)]
+    text = lambda t, n: [rnd.choice(rnd.choice(notions[t])) for _ in range(n)]
+    docs = [(k, " ".join(text(k % 12, 90)), "") for k in range(600)]
+    items = []
+    for t in range(12):
+        own = [rnd.choice(notions[t]) for _ in range(60)]
+        items.append((t, " ".join(p[0] for p in own), f"answer{t} of it"))
+        # one word in three changed for the other of its notion: no four words in a row are left
+        told = [p[1] if k % 3 == 2 else p[0] for k, p in enumerate(own)]
+        docs.append((1000 + t, " ".join(text((t + 5) % 12, 30) + told + f"Answer{t}, of it".split() + text((t + 5) % 12, 30)), ""))
+        docs.append((2000 + t, " ".join(told), ""))  # without the answer
+    return spark.createDataFrame(docs, "doc_id long, text string, w string"), spark.createDataFrame(items, "item_id long, text string, answer string")
+
+
+def noise(coded):
+    return np.random.default_rng(1).standard_normal((L.HASHED, L.KEPT)).astype(np.float32)
+
+
+def test_paraphrases_need_the_latent_space(spark):
+    docs, items = told_otherwise(spark)
+    want = {(1000 + t, t) for t in range(12)}
+    assert L.leaks(docs, items).count() == 0  # far more than one word in ten is changed
+    assert {tuple(r) for r in L.paraphrases(docs, items, threshold=0.9).collect()} == want
+    assert len({tuple(r) for r in L.paraphrases(docs, items, threshold=0.9, basis=noise).collect()} & want) <= 6
+
+
+def test_recall_of_the_index_against_all_cosines():
+    rng = np.random.default_rng(3)
+    own = L._unit(rng.standard_normal((500, L.KEPT)).astype(np.float32))
+    v = L._unit(np.repeat(own, 6, axis=0) + 0.5 * L._unit(rng.standard_normal((3000, L.KEPT))).astype(np.float32))
+    planes = L.hyperplanes()
+    x, y = L._Index(own, np.arange(500), np.zeros(500, int), planes).near(v, planes, 0.85)
+    want = {tuple(p) for p in np.argwhere(v @ own.T >= 0.85)}
+    got = set(zip(x.tolist(), y.tolist()))
+    assert got <= want and len(got) >= 0.9 * len(want) > 1000
+
+
+def test_common_subsequence_against_brute_force():
+    rnd = random.Random(2)
+    for _ in range(60):
+        a, b = ([rnd.randrange(5) for _ in range(rnd.randrange(0, 14))] for _ in range(2))
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a)):
+            for j in range(len(b)):
+                table[i + 1][j + 1] = table[i][j] + 1 if a[i] == b[j] else max(table[i][j + 1], table[i + 1][j])
+        assert L.common_subsequence(np.array(a, np.uint32), np.array(b, np.uint32)) == table[-1][-1]
+
+
+def test_rule_for_copies_against_brute_force():
+    rnd = random.Random(12)
+    seen = set()
+    for _ in range(150):
+        item = [rnd.randrange(9) for _ in range(rnd.randrange(8, 30))]
+        doc = [rnd.randrange(9) for _ in range(rnd.randrange(0, 30))] + item[rnd.randrange(8) :] + [rnd.randrange(9) for _ in range(rnd.randrange(0, 30))]
+        for _ in range(rnd.randrange(0, 4)):
+            k = rnd.randrange(len(doc))
+            doc[k : k + rnd.randrange(2)] = [rnd.randrange(9)] * rnd.randrange(2)
+        need = max(2, (len(item) + 1) // 2)
+        a, b = np.array(item, np.uint32), np.array(doc, np.uint32)
+        rule = L.Copies(0.1)
+        want = brute_stretch(item, doc, need, 0.1)
+        seen.add(want)
+        shared = len(set(L._runs(a, 2).tolist()) & set(L._runs(b, 2).tolist()))
+        assert (shared >= rule.least(a, need) and rule.holds(a, a[:0], b, np.array([0]), need)) == want
+    assert seen == {True, False}
+
+
 def test_report(spark):
-    docs = spark.createDataFrame([(1, "it is Supported."), (2, "unsupported")], "doc_id long, text string")
-    items = spark.createDataFrame([(7, "s", "t", "supported")], "item_id long, suite string, text string, answer string")
+    docs = spark.createDataFrame([(1, "it is <b>fully</b>-Supported."), (2, "fully unsupported")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "s", "t", " supported")], "item_id long, suite string, text string, answer string")
     found = spark.createDataFrame([(1, 7), (2, 7)], "doc_id long, item_id long")
     r = L.report(found, docs, items).first()
     assert (r.n_docs, r.n_with_answer) == (2, 1)

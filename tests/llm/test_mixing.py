@@ -1,6 +1,9 @@
 """Mixing: shares reached, caps kept, edge cases."""
 
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.llm import mixing as M
 
@@ -27,6 +30,23 @@ def test_shares_and_caps(spark):
     assert chosen.count() == chosen.select("doc_id").distinct().count()
 
 
+def test_margins_hold_together(spark):
+    targets = spark.createDataFrame([("big", 0.5, 1, 0), ("mid", 0.2, 2, 0), ("small", 0.3, 3, 0)], TARGETS)
+    rnd = random.Random(6)
+    rows = [(d, rnd.choice(["big", "big", "mid", "small"]), rnd.choice(["en", "en", "en", "de"]), rnd.choice("tuvw"), rnd.randrange(50, 250), 9.0) for d in range(4000)]
+    c = spark.createDataFrame(rows, COUNTED)
+    aim = M.targets_of(targets)
+    cells = M.usable(c, aim).groupBy("source_name", "lang_name", "topic").agg(F.sum("tokens").alias("tokens"))
+    goal = {(r.margin, r.value): r.goal for r in M.goals(cells, aim).collect()}
+    raked = M.rake(cells, aim, M.goals(cells, aim)).cache()
+    assert raked.where("weight > cap + 1e-9").count() == 0
+    for m in M.MARGINS:
+        for r in raked.groupBy(m).agg(F.sum(F.col("tokens") * F.col("weight")).alias("n")).collect():
+            assert r.n == pytest.approx(goal[m, r[m]], rel=0.01)
+    rows = M.margins(M.mix(c, targets), c, targets).collect()
+    assert {r.margin for r in rows} == set(M.MARGINS) and all(r.reached_share == pytest.approx(r.target_share, rel=0.05) for r in rows)
+
+
 def test_same_choice_under_other_partitions(spark):
     targets = spark.createDataFrame([("big", 0.6, 1, 0), ("mid", 0.4, 2, 0)], TARGETS)
     a = {tuple(r) for r in M.mix(counted(spark), targets).collect()}
