@@ -1,12 +1,11 @@
 """Noise that printed pages leave in extracted text, and its repair.
 
-Lines are exploded once.  Page numbers and running heads are recognised with
-their digits masked: by the title and author the chunk belongs to, and by masked
-lines that recur.  Words cut at a line end are looked up, joined and with their
-hyphen, in the vocabulary of the whole corpus.  Misread words are grouped by
-their confusable-glyph skeleton with the forms that corpus uses often; the
-neighbouring words must support the frequent form.  Windows over the remaining
-lines reflow the text.
+Lines are exploded once.  Running heads are lines that recur once digits, the
+paper's title and its author are masked.  Words cut at a line end are looked up,
+joined and with their hyphen, in the vocabulary of the whole corpus.  Misread words
+are grouped by their confusable-glyph skeleton with the forms that the corpus uses
+often, and the frequent form must stand beside one of the neighbouring words
+elsewhere.  Windows over the remaining lines reflow the text.
 """
 
 from __future__ import annotations
@@ -26,8 +25,8 @@ _NUMBER = r"(?i)^(?:\d{1,4}|[-–—] ?\d{1,4} ?[-–—]|\[ \d{1,4} \]|(?:page|
 _EDGE = r"^\d{1,4}(?:\s{2,}|\s*\|\s*)|(?:\s{2,}|\s*\|\s*)\d{1,4}$"
 #: Contexts that may be broadcast.
 _SMALL = 50_000
-#: Stamps that are heads by what they say.
-_STAMP = r"^(?:preprint|underreview|draftof|acceptedmanuscript|authorversion).{0,40}$"
+# Beginnings and ends of stamps that printers set as heads.
+_STAMP = r"^(?:preprint|underreview|draftof|acceptedmanuscript|authorversion)|(?:vol|volume)#$"
 
 
 def _plain(c: Column) -> Column:
@@ -42,38 +41,40 @@ def _titled(c: Column) -> Column:
 
 
 def lines(chunks: DataFrame) -> DataFrame:
-    """chunk_id, doc, pos, line, noise (null, ``header``, ``page_number`` or both)
-    of every line of a text that has line breaks.
+    """chunk_id, paper, pos, line, s (stripped), core (without a number at its edge) and
+    masked of every line of a text that has line breaks.
 
-    ``chunks``: chunk_id, text, title.  The paper of a chunk is its id without
-    the chunk number."""
-    paper = F.regexp_replace("chunk_id", r"_[^_]*_?\d*$", "")
+    ``chunks``: chunk_id, paper, author, title, text.  ``masked`` is set for lines that
+    may be heads: letters only, digits as ``#``, the title (or its beginning) as ``T:``,
+    the author as ``A:``, and a stamp as ``S:`` without the name of the series."""
     raw = chunks.where(F.col("text").contains("\n")).select(
-        "chunk_id", paper.alias("doc"), _plain(F.col("title")).alias("title"),
-        F.regexp_extract("chunk_id", r"^[^_]*_([^_]+)", 1).alias("author"), F.posexplode_outer(F.split("text", "\r?\n")).alias("pos", "line"))
-    short = F.length("s") <= 150  # longer lines are no heads; they are left alone
-    cut = raw.withColumn("s", F.btrim("line", F.lit(" \t\r\f\u00a0"))).withColumn("core", F.when(short, F.regexp_replace("s", _EDGE, ""))).withColumn(
-        "k", F.when(F.col("core").isNotNull(), _plain(F.col("core"))))
+        "chunk_id", "paper", _plain(F.col("title")).alias("title"), _plain(F.col("author")).alias("author"),
+        F.posexplode_outer(F.split("text", "\r?\n")).alias("pos", "line"))
+    cut = raw.withColumn("s", F.btrim("line", F.lit(" \t\r\f\u00a0"))).withColumn("core", F.regexp_replace("s", _EDGE, "")).withColumn("k", _plain(F.col("core")))
+    k = F.col("k")
     worded = ~F.contains("core", F.lit("|")) & F.col("core").rlike(r"^\S+\s+\S+\s+\S")
-    return cut.withColumn("masked", F.when(
-        F.coalesce((F.length("k") >= 10) & worded & _titled(F.col("core")), F.lit(False)), F.regexp_replace("k", r"\d+", "#")))
+    titled = (F.length(k) >= 10) & F.startswith("title", k) & ~F.col("core").rlike(r"[.!?;,]\s*$")
+    named = (F.length("author") >= 3) & F.startswith(k, F.col("author")) & F.substring(k, F.length("author") + 1, F.length(k)).rlike(r"^(?:etal|and[a-z]{2,20})$")
+    digits = F.regexp_replace("k", r"\d+", "#")
+    stamped = digits.rlike(_STAMP) & F.when(digits.rlike("vol(?:ume)?#$"), _titled(F.col("core"))).otherwise(~F.col("core").rlike("[a-z],"))
+    return cut.withColumn("masked", F.when(titled, "T:").when(named, "A:").when(stamped, F.concat(F.lit("S:"), F.regexp_extract(digits, _STAMP, 0))).when(
+        (F.length(k) >= 10) & worded & _titled(F.col("core")), digits)).select("chunk_id", "paper", "pos", "line", "s", "core", "masked")
 
 
 def noise_lines(split: DataFrame, repeats: int = 2) -> DataFrame:
-    """Adds is_number and is_header (booleans, never null) to :func:`lines`."""
-    counted = split.where(F.col("masked").isNotNull()).groupBy("doc", "masked").agg(
-        F.countDistinct("chunk_id").alias("n_chunks")).where(F.col("n_chunks") >= repeats)
-    k = F.col("k")
-    by_title = (F.length(k) >= 10) & F.startswith("title", k) & ~F.col("core").rlike(r"[.!?;,]\s*$") & (F.length(k) < F.length("title") + 1)
-    by_author = (F.length("author") >= 3) & F.startswith(k, F.col("author")) & F.substring(k, F.length("author") + 1, F.length(k)).rlike(r"^(?:etal|and[a-z]{2,20})$") & (F.length("core") <= 80)
-    by_stamp = k.rlike(_STAMP) & ~F.col("core").rlike(r"[a-z],")
-    by_volume = F.col("masked").isNotNull() & k.rlike(r"(?:vol|volume)\d{1,4}$")
+    """Adds is_number and is_header (booleans, never null) to :func:`lines`.
+
+    A head recurs: its masked form stands in at least ``repeats`` chunks, of the same
+    paper, or of any where it is made of the paper's own title, author or a stamp."""
+    heads = split.where(F.col("masked").isNotNull())
+    group = F.when(~F.col("masked").rlike("^[TAS]:"), F.col("paper"))
+    counted = heads.groupBy(F.coalesce(group, F.lit("")).alias("group"), "masked", "chunk_id").agg(F.lit(1).alias("one")).groupBy("group", "masked").agg(
+        F.count("*").alias("n_chunks")).where(F.col("n_chunks") >= repeats)
     # only lines that look like heads need the counts; all others pass by the join
-    joined = split.where(F.col("masked").isNotNull()).join(counted, ["doc", "masked"], "left").unionByName(
+    joined = heads.withColumn("group", F.coalesce(group, F.lit(""))).join(counted, ["group", "masked"], "left").drop("group").unionByName(
         split.where(F.col("masked").isNull()).withColumn("n_chunks", F.lit(None).cast("long")))
-    header = F.coalesce(by_title | by_author | by_stamp | by_volume, F.lit(False)) | F.col("n_chunks").isNotNull()
     alone = F.coalesce((F.length("s") <= 20) & F.col("s").rlike(_NUMBER), F.lit(False))
-    return joined.withColumn("is_header", header & ~alone).withColumn(
+    return joined.withColumn("is_header", F.col("n_chunks").isNotNull() & ~alone).withColumn(
         "is_number", alone | (F.col("is_header") & F.coalesce(F.col("core") != F.col("s"), F.lit(False))))
 
 
@@ -92,10 +93,15 @@ def _uncut() -> Column:
         "text", rf"(?<!\S)\S+[{HYPHENS}] ?\n\s*\S+", " ")).otherwise(F.col("text"))
 
 
-def vocabulary(chunks: DataFrame) -> DataFrame:
-    """word and n: how often each word (hyphens kept) occurs inside the lines of all texts."""
-    return chunks.select(F.explode_outer(F.regexp_extract_all(_uncut(), F.lit(rf"{_SIGNED}(?:-{_SIGNED})*+"), F.lit(0))).alias("word")).where(
-        F.length("word") >= 3).groupBy("word").agg(F.count("*").alias("n"))
+def tokens(chunks: DataFrame) -> DataFrame:
+    """chunk_id and w, the words of every text (hyphens kept, words cut at a line end left out)."""
+    return chunks.where(F.col("text").isNotNull()).select(
+        "chunk_id", F.regexp_extract_all(_uncut(), F.lit(rf"{_SIGNED}(?:-{_SIGNED})*+"), F.lit(0)).alias("w"))
+
+
+def vocabulary(split: DataFrame) -> DataFrame:
+    """word and n: how often each of the :func:`tokens` occurs."""
+    return split.select(F.explode_outer("w").alias("word")).where(F.length("word") >= 2).groupBy("word").agg(F.count("*").alias("n"))
 
 
 def cut_words(marked: DataFrame, words: DataFrame) -> DataFrame:
@@ -128,61 +134,65 @@ def skeleton(word: Column) -> Column:
     return F.translate(s, *ALIKE[1])
 
 
-def misreadings(words: DataFrame, ratio: int = 10, least: int = 4) -> DataFrame:
-    """Forms that are probably another word misread: word, right, sure.
+def misreadings(words: DataFrame, ratio: int = 10, least: int = 3) -> DataFrame:
+    """Forms that may be another word misread: word, right.
 
-    Among the forms of one skeleton the most frequent is the right one for all
-    that are ``ratio`` times rarer, and surely so 40 times rarer or where a sign
-    stands inside the word."""
+    Among the forms of one skeleton the most frequent one of letters only is the right
+    one for all that are ``ratio`` times rarer or have a sign inside."""
     forms = words.where((F.length("word") >= least) & F.col("word").rlike(r"^[\p{L}\p{N}@$!|(]+$") & F.col("word").rlike(r"[\p{L}]{2}")).select(
         "word", "n", skeleton(F.col("word")).alias("shape"))
     clean = F.col("word").rlike(r"^\p{L}+$")
     top = forms.groupBy("shape").agg(F.max(F.when(clean, F.struct("n", "word"))).alias("top")).where(F.col("top").isNotNull())
     signed = F.col("word").rlike(r"[@$!|(0-9]")
     return forms.join(top, "shape").where(F.col("word") != F.col("top.word")).where(
-        (F.col("top.n") >= F.col("n") * ratio) | (signed & (F.col("top.n") >= F.col("n")))).select(
-        "word", F.col("top.word").alias("right"), (signed | (F.col("top.n") >= F.col("n") * 40)).alias("sure"))
+        (F.col("top.n") >= F.col("n") * ratio) | (signed & (F.col("top.n") >= F.col("n")))).select("word", F.col("top.word").alias("right"))
 
 
-def misread_words(chunks: DataFrame, words: DataFrame) -> DataFrame:
-    """Misread words of hard-wrapped texts: chunk_id, word, right.
+def misread_words(split: DataFrame, words: DataFrame) -> DataFrame:
+    """Misread words: chunk_id, word, right.
 
-    ``words`` is the :func:`vocabulary` of all texts, contexts come from all texts
-    too; only texts whose lines are broken inside sentences (which a page layout
-    leaves) are corrected."""
+    ``split``: :func:`tokens`; ``words``: their :func:`vocabulary`.  A possible misreading
+    counts where the right form is backed by its context: together with the word before
+    or after it (the next but one where that is misread too) it occurs elsewhere."""
     parts = words.select(F.explode(F.split("word", "-")).alias("word"), "n").groupBy("word").agg(F.sum("n").alias("n"))
-    bad = misreadings(parts)
-    w = F.regexp_extract_all("text", F.lit(_SIGNED), F.lit(0))
+    bad = written(misreadings(parts), "misread-forms")
+    w = F.flatten(F.transform("w", lambda x: F.split(x, "-")))
     none = F.array(F.lit(None).cast("string"))
-    wrapped = chunks.where(F.col("text").rlike(r"(?<=[^\n]{24})[\p{L},0-9-] ?\n[^\n|\[]")).select(
-        "chunk_id", F.regexp_extract_all(_uncut(), F.lit(_SIGNED), F.lit(0)).alias("w"))
-    own = wrapped.select("chunk_id", F.explode_outer(F.arrays_zip(
-        F.concat(none, "w").alias("before"), F.col("w").alias("word"), F.concat(F.slice("w", F.lit(2), F.size("w")), none).alias("after"))).alias("z")).select(
-        "chunk_id", "z.before", "z.word", "z.after").where(F.length("word") >= 4)
-    found = written(own.join(bad, "word"), "misread-found")  # read for the sure ones and for the contexts
-    sure = found.where("sure").select("chunk_id", "word", "right")
-    asked = found.where(~F.col("sure")).select("chunk_id", "word", "right", F.explode(F.array(
-        F.struct(F.col("before").alias("x"), F.col("right").alias("y")), F.struct(F.col("right").alias("x"), F.col("after").alias("y")))).alias("p")).select(
-        "chunk_id", "word", "right", "p.x", "p.y").where(F.col("x").isNotNull() & F.col("y").isNotNull())
-    wanted = asked.select("x", "y").distinct()
+    flat = split.select("chunk_id", w.alias("w"))
+    around = {"b2": F.concat(none, none, "w"), "b1": F.concat(none, "w"), "word": F.col("w"), "a1": F.slice("w", F.lit(2), F.size("w")), "a2": F.slice("w", F.lit(3), F.size("w"))}
+    own = flat.select("chunk_id", F.explode(F.arrays_zip(*[c.alias(k) for k, c in around.items()])).alias("z")).select("chunk_id", "z.*").where(F.length("word") >= 3)
+    found = written(own.join(bad, "word"), "misread-found")
+    sides = [F.struct(F.lit(d).alias("d"), x.alias("x"), y.alias("y")) for d, x, y in (
+        (1, F.col("b1"), F.col("right")), (1, F.col("right"), F.col("a1")), (2, F.col("b2"), F.col("right")), (2, F.col("right"), F.col("a2")))]
+    asked = found.select("chunk_id", "word", "right", F.explode(F.array(*sides)).alias("p")).select(
+        "chunk_id", "word", "right", "p.d", "p.x", "p.y").where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    wanted = asked.select("d", "x", "y").distinct()
     if wanted.limit(_SMALL + 1).count() <= _SMALL:  # else Spark joins both sides by a shuffle
         wanted = F.broadcast(wanted)
-    pairs = chunks.where(F.col("text").isNotNull()).select(w.alias("w")).select(F.explode_outer(F.arrays_zip(F.col("w").alias("x"), F.slice("w", F.lit(2), F.size("w")).alias("y"))).alias("p")).select(
-        "p.x", "p.y").where(F.col("y").isNotNull()).join(wanted, ["x", "y"], "left_semi").distinct()
-    backed = asked.join(pairs, ["x", "y"], "left_semi").select("chunk_id", "word", "right")
-    return sure.unionByName(backed).distinct()
+    near = [F.struct(F.lit(1).alias("d"), F.col("z.w").alias("x"), F.col("z.a1").alias("y")), F.struct(F.lit(2).alias("d"), F.col("z.w").alias("x"), F.col("z.a2").alias("y"))]
+    pairs = flat.select(F.explode(F.arrays_zip(F.col("w").alias("w"), around["a1"].alias("a1"), around["a2"].alias("a2"))).alias("z")).select(
+        F.explode(F.array(*near)).alias("p")).select("p.*").where(F.col("y").isNotNull()).join(wanted, ["d", "x", "y"], "left_semi").distinct()
+    return asked.join(pairs, ["d", "x", "y"], "left_semi").select("chunk_id", "word", "right").distinct()
+
+
+def _prepared(chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(texts, marked lines, tokens, vocabulary), each written once and read by several jobs."""
+    texts = written(chunks.select("chunk_id", "paper", "author", "title", "text"), "page-texts")
+    marked = written(noise_lines(lines(texts)).select("chunk_id", "pos", "line", "s", "is_header", "is_number"), "page-lines")
+    split = written(tokens(texts), "page-tokens")
+    return texts, marked, split, written(vocabulary(split), "page-words")
 
 
 def find_noise(chunks: DataFrame) -> DataFrame:
     """chunk_id and noise, one row per chunk and kind: ``hyphenation``, ``misread``,
-    ``header``, ``page_number``.  Null, empty and unbroken texts give no row."""
-    chunks = written(chunks.select("chunk_id", "text", "title"), "page-texts")  # read by four jobs below
-    marked = written(noise_lines(lines(chunks)).select("chunk_id", "pos", "s", "is_header", "is_number"), "page-lines")
+    ``header``, ``page_number``.  ``chunks``: chunk_id (unique), paper, author, title,
+    text.  Null and empty texts give no row; without title or author (null) heads are
+    found by their recurrence in the paper."""
+    _, marked, split, words = _prepared(chunks)
     heads = marked.where("is_header").select("chunk_id", F.lit("header").alias("noise"))
     numbers = marked.where("is_number").select("chunk_id", F.lit("page_number").alias("noise"))
-    words = written(vocabulary(chunks), "page-words")
     cut = cut_words(marked, words).where("hyphenated").select("chunk_id", F.lit("hyphenation").alias("noise"))
-    misread = misread_words(chunks, words).select("chunk_id", F.lit("misread").alias("noise"))
+    misread = misread_words(split, words).select("chunk_id", F.lit("misread").alias("noise"))
     return heads.unionByName(numbers).unionByName(cut).unionByName(misread).distinct()
 
 
@@ -190,12 +200,11 @@ def repair(chunks: DataFrame) -> DataFrame:
     """chunk_id and text of every chunk, in continuous paragraphs.
 
     Running heads and page numbers are taken out, cut words joined, misread
-    words replaced, and lines that were broken inside a sentence joined; blank
-    lines, list items and table rows stay where they are.  Null texts stay null.
+    words replaced (whole words only, all in one pass), and lines that were broken
+    inside a sentence joined; blank lines, list items and table rows stay where they
+    are.  ``chunks`` as in :func:`find_noise`.  Null texts stay null.
     """
-    chunks = written(chunks.select("chunk_id", "text", "title"), "page-texts")
-    marked = written(noise_lines(lines(chunks)).select("chunk_id", "pos", "line", "s", "is_header", "is_number"), "page-lines")
-    words = written(vocabulary(chunks), "page-words")
+    texts, marked, split, words = _prepared(chunks)
     cut = cut_words(marked, words).select("chunk_id", "pos", "word_right", F.col("hyphenated"))
     body = marked.where(~F.col("is_header") & ~F.col("is_number"))
     w = Window.partitionBy("chunk_id").orderBy("pos")
@@ -210,8 +219,10 @@ def repair(chunks: DataFrame) -> DataFrame:
     text = F.when(F.col("hyphenated"), F.regexp_replace("s", rf"[{HYPHENS}]+$", "")).otherwise(F.col("s"))
     flowed = row.select("chunk_id", "pos", F.concat(text, glue).alias("part")).groupBy("chunk_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "part"))), lambda x: x["part"]), "").alias("flowed"))
-    wrong = misread_words(chunks, words).groupBy("chunk_id").agg(F.collect_set(F.struct("word", "right")).alias("wrong"))
-    out = chunks.select("chunk_id", "text").join(flowed, "chunk_id", "left").join(wrong, "chunk_id", "left")
+    wrong = misread_words(split, words).groupBy("chunk_id", "word").agg(F.min("right").alias("right")).groupBy("chunk_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("word", "right"))).alias("wrong"))
+    out = texts.select("chunk_id", "text").join(flowed, "chunk_id", "left").join(wrong, "chunk_id", "left")
     base = F.coalesce("flowed", "text")
-    fixed = F.aggregate(F.coalesce("wrong", F.array().cast("array<struct<word:string,right:string>>")), base, lambda t, x: F.replace(t, x["word"], x["right"]))
+    pieces = F.regexp_extract_all(base, F.lit(r"(?s)[A-Za-z0-9@$|(!\p{L}\p{N}]++|[^A-Za-z0-9@$|(!\p{L}\p{N}]++"), F.lit(0))  # words and what is between them
+    fixed = F.when(F.col("wrong").isNull(), base).otherwise(F.array_join(F.transform(pieces, lambda x: F.coalesce(F.col("wrong")[x], x)), ""))
     return out.select("chunk_id", F.regexp_replace(fixed, r"\n{3,}", "\n\n").alias("text"))

@@ -44,7 +44,9 @@ def p3_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunk_texts(load(spark, sf_dir, "retrieval_hits"), "title")
+    """One row per chunk; these tables name paper and author in the chunk id only."""
+    chunks = chunk_texts(load(spark, sf_dir, "retrieval_hits"), "title")
+    return chunks.withColumns({"paper": F.regexp_replace("chunk_id", r"_[^_]*_?\d*$", ""), "author": F.regexp_extract("chunk_id", r"^[^_]*_([^_]+)", 1)})
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
