@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 
 from ..session import written
 
-#: Hashed vocabulary; kept directions; passage lengths (words) and their stride.
-HASHED, KEPT, PASSAGES, STRIDE = 1 << 14, 64, (16, 24, 32), 8
+#: Hashed vocabulary; kept directions; passage lengths (words).  Passages of a document
+#: begin half a length apart, those of an item an eighth.
+HASHED, KEPT, PASSAGES = 1 << 14, 64, (16, 24, 32)
 _TAG = r"</?[A-Za-z][^<>]{0,40}>"
 
 
@@ -197,7 +198,7 @@ def latent_basis(encoded: DataFrame, weights: np.ndarray, n: int, sample: int =
 
 
 #: Index of the item passages: tables, hyperplanes per table, least sure planes that a query may miss.
-TABLES, PLANES, UNSURE = 10, 16, 4
+TABLES, PLANES, UNSURE = 6, 16, 4
 
 
 def hyperplanes(seed: int = 11) -> np.ndarray:
@@ -257,13 +258,13 @@ class _Items:
         self.words = [np.frombuffer(w, np.uint32) for w in coded]
         self.answers = [np.frombuffer(a, np.uint32) if a else np.empty(0, np.uint32) for a in answers]
         self.need = [math.ceil(len(w) * share) for w in self.words]
-        scale = [max([k for k, p in enumerate(PASSAGES) if n >= p + STRIDE - 1], default=0) for n in self.need]
+        scale = [max([k for k, p in enumerate(PASSAGES) if n >= p + p // 2 - 1], default=0) for n in self.need]
         self.scales = []
         for k, size in enumerate(PASSAGES):
             own, vec, at = [], [], []
             for i, w in enumerate(self.words):
                 if scale[i] == k and len(w):
-                    start = _windows(w, size, size // 4)
+                    start = _windows(w, size, size // 8)
                     vec.append(_sums(terms[(w & np.uint32(HASHED - 1)).astype(np.int64)], start, size))
                     own += [i] * len(start)
                     at.append(start)
@@ -277,11 +278,16 @@ class _Items:
         self.run_items = own[order]
         self.runs, self.run_first = np.unique(run[order], return_index=True)
         self.run_count = np.diff(np.r_[self.run_first, len(order)])
+        self.sorted_runs = []
+        for w in self.words:
+            r = _runs(w, rule.run)
+            order = np.argsort(r, kind="stable")
+            self.sorted_runs.append((r[order], order))
         self.least = np.array([rule.least(w, n) for w, n in zip(self.words, self.need)])
 
-    def possible(self, doc: np.ndarray, k: int) -> np.ndarray:
-        """Whether a document has as many different runs of each item as the rule asks for at the least."""
-        r = np.unique(_runs(doc, k))
+    def possible(self, runs: np.ndarray) -> np.ndarray:
+        """Whether a document with these runs has as many different ones of each item as the rule asks for at the least."""
+        r = np.unique(runs)
         at = np.minimum(np.searchsorted(self.runs, r), max(len(self.runs) - 1, 0))
         at = at[self.runs[at] == r] if len(self.runs) else at[:0]
         n = self.run_count[at]
@@ -379,14 +385,10 @@ class Copies:
         """Every error spoils two pairs of successive words at most; pairs that the item repeats count once."""
         return need - 1 - 2 * int(len(item) * self.errors) - (max(len(item) - 1, 0) - len(np.unique(_runs(item, 2))))
 
-    def holds(self, item: np.ndarray, answer: np.ndarray, doc: np.ndarray, places: np.ndarray, need: int) -> bool:
-        own, theirs = _runs(item, 2), _runs(doc, 2)
-        order = np.argsort(own, kind="stable")
-        if len(own):
-            first = order[np.minimum(np.searchsorted(own[order], theirs), len(own) - 1)]
-            shared = np.flatnonzero(own[first] == theirs)
-        else:
-            first = shared = np.empty(0, np.int64)
+    def holds(self, items: "_Items", i: int, doc: np.ndarray, theirs: np.ndarray, places: np.ndarray) -> bool:
+        item, need, (own, order) = items.words[i], items.need[i], items.sorted_runs[i]
+        at = np.minimum(np.searchsorted(own, theirs), max(len(own) - 1, 0)) if len(own) else np.empty(0, np.int64)
+        shared = np.flatnonzero(own[at] == theirs) if len(own) else at
         # only where enough of the pairs stand together can there be a stretch
         wrong = int(len(item) * self.errors)
         pairs, reach = need - 1 - 2 * wrong, need + wrong
@@ -397,7 +399,7 @@ class Copies:
         dense = np.flatnonzero(shared[pairs - 1 :] - shared[: len(shared) - pairs + 1] < reach)
         if not len(dense):
             return False
-        shifts, n = np.unique(shared - first[shared], return_counts=True)
+        shifts, n = np.unique(shared - order[at[shared]], return_counts=True)
         if any(_straight(item, doc, int(d), need, self.errors) for d in shifts[np.argsort(-n)[:3]]):
             return True
         lo, hi = shared[dense] - len(item), shared[dense + pairs - 1] + len(item) + 2
@@ -417,7 +419,8 @@ class Paraphrases:
     def least(self, item: np.ndarray, need: int) -> int:
         return math.ceil(len(item) * self.common) - (len(item) - len(np.unique(item)))
 
-    def holds(self, item: np.ndarray, answer: np.ndarray, doc: np.ndarray, places: np.ndarray, need: int) -> bool:
+    def holds(self, items: "_Items", i: int, doc: np.ndarray, theirs: np.ndarray, places: np.ndarray) -> bool:
+        item, answer = items.words[i], items.answers[i]
         if not _holds(doc, answer):
             return False
         n, least = len(item), math.ceil(len(item) * self.common)
@@ -441,7 +444,7 @@ def _searcher(items: "_Items", terms_b, planes: np.ndarray, threshold: float, ru
                 sums = _running(terms[(np.concatenate(part) & np.uint32(HASHED - 1)).astype(np.int64)].astype(np.float32))
                 met, place = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
                 for size, index in items.scales:
-                    at = [_windows(w, size, STRIDE) for w in part]
+                    at = [_windows(w, size, size // 2) for w in part]
                     of = np.repeat(np.arange(len(part)), [len(a) for a in at])
                     at = np.concatenate(at)
                     a = at + (end - [len(w) for w in part])[of]
@@ -454,9 +457,10 @@ def _searcher(items: "_Items", terms_b, planes: np.ndarray, threshold: float, ru
                 pair, first = np.unique(met, return_index=True)
                 last = np.r_[first[1:], len(met)]
                 d, i = np.divmod(pair, max(len(items.ids), 1))
-                able = {int(k): items.possible(part[k], rule.run) for k in np.unique(d)}
+                runs = {int(k): _runs(part[k], rule.run) for k in np.unique(d)}
+                able = {k: items.possible(r) for k, r in runs.items()}
                 for p in range(len(pair)):
-                    if able[d[p]][i[p]] and rule.holds(items.words[i[p]], items.answers[i[p]], part[d[p]], place[first[p] : last[p]], items.need[i[p]]):
+                    if able[d[p]][i[p]] and rule.holds(items, i[p], part[d[p]], runs[d[p]], place[first[p] : last[p]]):
                         doc.append(ids[lo + d[p]])
                         item.append(items.ids[i[p]])
             yield pd.DataFrame({"doc_id": np.array(doc, np.int64), "item_id": np.array(item, np.int64)})
@@ -490,7 +494,7 @@ def _search(documents: DataFrame, items: DataFrame, share: float, threshold: flo
     return out.distinct()
 
 
-def leaks(documents: DataFrame, items: DataFrame, share: float = 0.5, errors: float = 0.1, threshold: float = 0.85,
+def leaks(documents: DataFrame, items: DataFrame, share: float = 0.5, errors: float = 0.1, threshold: float = 0.88,
           block: int = 2000, basis=latent_terms) -> DataFrame:
     """doc_id, item_id of every document that contains an item.
 

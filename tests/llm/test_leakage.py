@@ -1,6 +1,7 @@
 """Leaked items against brute force, the stretch check, edge cases."""
 
 import random
+from types import SimpleNamespace
 
 import numpy as np
 
@@ -141,7 +142,10 @@ def test_rule_for_copies_against_brute_force():
         want = brute_stretch(item, doc, need, 0.1)
         seen.add(want)
         shared = len(set(L._runs(a, 2).tolist()) & set(L._runs(b, 2).tolist()))
-        assert (shared >= rule.least(a, need) and rule.holds(a, a[:0], b, np.array([0]), need)) == want
+        r = L._runs(a, 2)
+        order = np.argsort(r, kind="stable")
+        one = SimpleNamespace(words=[a], need=[need], sorted_runs=[(r[order], order)])
+        assert (shared >= rule.least(a, need) and rule.holds(one, 0, b, L._runs(b, 2), np.array([0]))) == want
     assert seen == {True, False}
 
 
