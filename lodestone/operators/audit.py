@@ -21,15 +21,30 @@ OPPOSED = (
 
 
 def overlaps(claims: DataFrame, evidence: DataFrame, pairs: DataFrame) -> DataFrame:
-    """claim_id, chunk_id, score and the texts of every given pair.
+    """claim_id, chunk_id, score, any_number, same_number and flipped of every given pair.
 
     ``claims``: claim_id, text; ``evidence``: chunk_id, text; ``pairs``: claim_id,
-    chunk_id.  score is the share of the claim's tokens the evidence has.  Token
-    sets are made once per text, before the pairs are joined."""
-    c = claims.select("claim_id", F.col("text").alias("claim"), audit_tokens(F.col("text")).alias("ct"))
-    e = evidence.select("chunk_id", F.col("text").alias("evidence"), audit_tokens(F.col("text")).alias("et"))
+    chunk_id.  score is the share of the claim's tokens the evidence has; any_number,
+    whether the evidence states a number, same_number, one of the claim's; flipped,
+    whether one of them is negated and they use words of opposite direction.  Tokens,
+    numbers and words are taken once per text, before the pairs are joined, and no
+    text goes along with a pair."""
+    def facts(text: str, p: str) -> list[Column]:
+        words = audit_tokens(F.col(text))
+        sides = F.array(*[_uses(F.col(text), side) for pair in OPPOSED for side in pair])
+        return [words.alias(f"{p}t"), claim_numbers(F.col(text)).alias(f"{p}n"), F.arrays_overlap(words, F.array(*map(F.lit, NEGATIONS))).alias(f"{p}x"), sides.alias(f"{p}o")]
+
+    c, e = claims.select("claim_id", *facts("text", "c")), evidence.select("chunk_id", *facts("text", "e"))
+    opposed = F.lit(False)
+    for k in range(0, 2 * len(OPPOSED), 2):
+        opposed = opposed | (F.col("co")[k] & F.col("eo")[k + 1]) | (F.col("co")[k + 1] & F.col("eo")[k])
     return pairs.join(c, "claim_id").join(e, "chunk_id").select(
-        "claim_id", "chunk_id", "claim", "evidence", "ct", "et", F.round(overlap_ratio(F.col("ct"), F.col("et")), 6).alias("score"))
+        "claim_id", "chunk_id", F.round(overlap_ratio(F.col("ct"), F.col("et")), 6).alias("score"), (F.size("en") > 0).alias("any_number"),
+        F.arrays_overlap("en", "cn").alias("same_number"), ((F.col("cx") != F.col("ex")) & opposed).alias("flipped"))
+
+
+def _uses(text: Column, words: tuple[str, ...]) -> Column:
+    return F.coalesce(F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(F.lower(text), w)), F.lit(False))
 
 
 def verdicts(claims: DataFrame, scored: DataFrame) -> DataFrame:
@@ -47,25 +62,14 @@ def verdicts(claims: DataFrame, scored: DataFrame) -> DataFrame:
 def numeric_consistency(claims: DataFrame, scored: DataFrame) -> DataFrame:
     """claim_id and status: one matching number in related evidence is enough."""
     own = claims.select("claim_id", claim_numbers(F.col("text")).alias("own"))
-    near = scored.where(F.col("score") >= RELATED_NUMBER).select("claim_id", claim_numbers(F.col("evidence")).alias("n"), claim_numbers(F.col("claim")).alias("c"))
-    seen = near.groupBy("claim_id").agg(F.max(F.size("n") > 0).alias("any_number"), F.max(F.arrays_overlap("n", "c")).alias("hit"))
+    seen = scored.where(F.col("score") >= RELATED_NUMBER).groupBy("claim_id").agg(F.max("any_number").alias("any_number"), F.max("same_number").alias("hit"))
     return own.join(seen, "claim_id", "left").select("claim_id", F.when(F.size("own") == 0, "not_applicable").when(F.col("hit"), "consistent").when(
         F.col("any_number"), "numerical_error").otherwise("uncertain").alias("status"))
 
 
-def _opposed(claim: Column, evidence: Column) -> Column:
-    has = lambda t, words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(F.lower(t), w))
-    out = F.lit(False)
-    for a, b in OPPOSED:
-        out = out | (has(claim, a) & has(evidence, b)) | (has(claim, b) & has(evidence, a))
-    return out
-
-
 def polarity(claims: DataFrame, scored: DataFrame) -> DataFrame:
     """claim_id and status: contradiction, consistent or uncertain."""
-    neg = F.array(*map(F.lit, NEGATIONS))
-    flip = (F.arrays_overlap("ct", neg) != F.arrays_overlap("et", neg)) & (F.col("score") >= FLIPPED) & _opposed(F.col("claim"), F.col("evidence"))
-    seen = scored.where(F.col("score") >= RELATED).groupBy("claim_id").agg(F.max(flip).alias("flip"))
+    seen = scored.where(F.col("score") >= RELATED).groupBy("claim_id").agg(F.max(F.col("flipped") & (F.col("score") >= FLIPPED)).alias("flip"))
     return claims.select("claim_id").join(seen, "claim_id", "left").select(
         "claim_id", F.when(F.col("flip").isNull(), "uncertain").when(F.col("flip"), "contradiction").otherwise("consistent").alias("status"))
 

@@ -7,12 +7,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def neighbours(rows: DataFrame, group: str, order: str) -> DataFrame:
-    """group, order, n (running count), previous and next id within the group."""
-    w = Window.partitionBy(group).orderBy(order)
-    return rows.select(group, order, F.row_number().over(w).alias("n"), F.lag(order).over(w).alias("prev_id"), F.lead(order).over(w).alias("next_id"))
-
-
 def _in_buckets(rows: DataFrame, ts: str, seconds: int) -> DataFrame:
     return rows.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp"))).withColumn("_b", F.floor(F.col("_us") / (seconds * 1_000_000)))
 
@@ -48,17 +42,6 @@ def last_before(rows: DataFrame, group: str, ts: str, tie: str, value: Column, b
         *rows.columns, "last_value")
 
 
-def carried(rows: DataFrame, group: str, order: str, value: str) -> DataFrame:
-    """Adds carried: the last value seen that is not null, in order."""
-    w = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.withColumn("carried", F.last(value, ignorenulls=True).over(w))
-
-
-def nearest_rank(values: Column, q: float) -> Column:
-    """Element number round((n - 1) q), halves to even, of a sorted array."""
-    return F.element_at(values, (F.bround((F.size(values) - 1) * F.lit(q), 0) + 1).cast("int"))
-
-
 def heading_score(heading: Column) -> Column:
     """How much a line looks like a heading: numbering, capitals, length, known section words."""
     h = F.coalesce(heading, F.lit(""))

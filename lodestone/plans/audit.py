@@ -10,6 +10,7 @@ from ..operators import corpus as C
 from ..operators import filters as P
 from ..operators import metrics as M
 from ..operators.references import normal_id
+from ..session import written
 from ..tables import load
 from .references import _norm
 
@@ -59,8 +60,9 @@ def overclaim_severity(spark, sf_dir):
 
 def error_type_precedence(spark, sf_dir):
     """One error type per claim: number, then contradiction, then severe overclaim, then lack of support."""
-    j = claim_verdicts(spark, sf_dir).join(numeric_consistency(spark, sf_dir).withColumnRenamed("status", "num"), "claim_id").join(
-        polarity_contradiction(spark, sf_dir).withColumnRenamed("status", "pol"), "claim_id").join(overclaim_severity(spark, sf_dir), "claim_id")
+    claims, scored = _claims(spark, sf_dir), written(_scored(spark, sf_dir), "claim-pairs")  # pairs are scored once
+    j = A.verdicts(claims, scored).join(A.numeric_consistency(claims, scored).withColumnRenamed("status", "num"), "claim_id").join(
+        A.polarity(claims, scored).withColumnRenamed("status", "pol"), "claim_id").join(overclaim_severity(spark, sf_dir), "claim_id")
     kind = F.when(F.col("num") == "numerical_error", "numerical").when(F.col("pol") == "contradiction", "contradiction").when(
         (F.col("severity") == "severe") & (F.col("verdict") != "supported"), "overclaim").when(F.col("verdict") == "unsupported", "unsupported").when(
         F.col("verdict") == "partial", "review").otherwise("supported")

@@ -53,9 +53,10 @@ def content_hash_duplicates(spark, sf_dir):
 
 
 def corpus_fingerprint(spark, sf_dir):
-    """Order-free fingerprint per paper: hash of its sorted chunk hashes."""
+    """Order-free fingerprint per paper: the sum of 48 bits of the hash of every chunk."""
     m = load(spark, sf_dir, "corpus_manifest").select("doc_id", "chunk_id", "content_hash").distinct()
-    return m.groupBy("doc_id").agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "chunk_id", "content_hash"))), ","), 256).alias("fingerprint"))
+    return m.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(
+        F.conv(F.substring(F.md5(F.concat_ws(":", "chunk_id", "content_hash")), 1, 12), 16, 10).cast("decimal(38,0)")).cast("string").alias("fingerprint"))
 
 
 def manifest_diff(spark, sf_dir):
@@ -125,8 +126,8 @@ ORACLE = {
         count(*) FILTER (WHERE page_start IS NULL) AS no_page, CAST(grouping(section, chunk_type) AS INTEGER) AS gid
         FROM corpus_manifest GROUP BY GROUPING SETS ((section, chunk_type), (section), (chunk_type), ())""",
     "content_hash_duplicates": "SELECT sha256(text) AS hash, count(*) AS n, min(doc_id) AS first_id FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1",
-    "corpus_fingerprint": """SELECT doc_id, count(*) AS n, sha256(string_agg(k, ',' ORDER BY k)) AS fingerprint FROM
-        (SELECT DISTINCT doc_id, chunk_id || ':' || content_hash AS k FROM corpus_manifest) GROUP BY doc_id""",
+    "corpus_fingerprint": """SELECT doc_id, count(*) AS n, CAST(sum(CAST('0x' || substr(md5(k), 1, 12) AS BIGINT)) AS VARCHAR) AS fingerprint FROM
+        (SELECT DISTINCT doc_id, concat_ws(':', chunk_id, content_hash) AS k, chunk_id, content_hash FROM corpus_manifest) GROUP BY doc_id""",
     "manifest_diff": _DIFF,
     "manifest_sync_plan": f"""SELECT count(*) FILTER (WHERE change = 'added') AS added, count(*) FILTER (WHERE change = 'removed') AS removed,
         count(*) FILTER (WHERE change = 'updated') AS updated, count(*) FILTER (WHERE change = 'metadata_changed') AS metadata_changed,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import metrics as M
+from ..operators import order as O
 from ..tables import load
 from .references import _norm
 
@@ -117,10 +118,14 @@ def citation_micro_pr(spark, sf_dir):
 
 
 def latency_by_model(spark, sf_dir):
-    return _verdicts(spark, sf_dir).groupBy("model", "prompt_version").agg(
-        F.count("*").alias("n"), F.round(F.avg("latency_ms"), 4).alias("mean_ms"), F.round(F.percentile("latency_ms", 0.95), 4).alias("p95_ms"),
+    v = _verdicts(spark, sf_dir)
+    ranks, p95 = O.interpolated("p95", 0.95)
+    high = O.order_statistics(v, ["model", "prompt_version"], "latency_ms", ranks, 20).select(F.col("model").alias("m"), F.col("prompt_version").alias("p"), F.round(p95, 4).alias("p95_ms"))
+    base = v.groupBy("model", "prompt_version").agg(
+        F.count("*").alias("n"), F.round(F.avg("latency_ms"), 4).alias("mean_ms"),
         F.sum("api_call_count").alias("calls"), F.sum("input_tokens").alias("tokens_in"), F.count_if("cache_hit").alias("cache_hits"),
         F.count_if("fallback_used").alias("fallbacks"))
+    return base.join(high, base["model"].eqNullSafe(F.col("m")) & base["prompt_version"].eqNullSafe(F.col("p")), "left").drop("m", "p")
 
 
 def support_level_rollup(spark, sf_dir):

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import audit, corpus, metrics, references, relational, retrieval, runs, stores, streams, structure
+from . import audit, corpus, evaluation, metrics, references, relational, retrieval, runs, stores, streams, structure
 
-_MODULES = (references, corpus, retrieval, metrics, audit, structure, runs, relational, streams, stores)
+_MODULES = (references, corpus, retrieval, metrics, evaluation, audit, structure, runs, relational, streams, stores)
 
 QUERIES: dict = {}
 ORACLE: dict = {}

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.text import bm25_tokens
 from ..operators import corpus as C
 from ..operators import filters as P
+from ..operators import index as X
 from ..operators import retrieval as R
-from ..session import written
+from ..session import shared_folder, written
 from ..tables import load
 from .corpus import CH, POST, chunk_postings
 
@@ -24,34 +27,65 @@ def _queries(spark, sf_dir):
     return c.groupBy(F.col("case_id").alias("query_id")).agg(F.max("query").alias("query"))
 
 
+_STORED: dict = {}
+
+
+def _stored(spark, sf_dir, name, texts, key):
+    """The stored index of a data directory, built by the first search of a session."""
+    at = (spark.sparkContext.applicationId, shared_folder(spark), sf_dir, name)
+    if at not in _STORED:
+        path = f"{shared_folder(spark)}/lodestone/{at[0]}/index-{name}-{uuid.uuid4().hex}"
+        X.build(texts, key, path)
+        _STORED[at] = path
+    return X.load(spark, _STORED[at], key)
+
+
 def _index(spark, sf_dir):
-    """The postings as a table: each search reads them several times."""
-    return written(chunk_postings(spark, sf_dir), "postings")
+    return _stored(spark, sf_dir, "chunks", C.chunks(load(spark, sf_dir, "retrieval_hits")).select("chunk_id", "text"), "chunk_id")
+
 
+def _document_index(spark, sf_dir):
+    return _stored(spark, sf_dir, "documents", load(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
 
-def _document_index(docs):
-    return written(C.postings(docs, "doc_id"), "document-postings")
+
+def index_build_load_search(spark, sf_dir):
+    """Stored, checked (an index with a fault is refused), loaded and searched."""
+    path = f"{shared_folder(spark)}/lodestone/{spark.sparkContext.applicationId}/index-{uuid.uuid4().hex}"
+    X.build(_chunks(spark, sf_dir).select("chunk_id", "text"), "chunk_id", path)
+    return R.bm25(_queries(spark, sf_dir), X.load(spark, path, "chunk_id", strict=True), k=5)
+
+
+def index_faults(spark, sf_dir):
+    texts = _chunks(spark, sf_dir).where(F.size(bm25_tokens(F.col("text"))) > 0).select("chunk_id")
+    return X.faults(_index(spark, sf_dir), texts)
+
+
+def bm25_distinct_tokens(spark, sf_dir):
+    """BM25 over the different tokens of a text: every frequency is one."""
+    post = chunk_postings(spark, sf_dir).withColumn("tf", F.lit(1).cast("long"))
+    return R.bm25(_queries(spark, sf_dir), X.of_postings(written(post, "postings"), "chunk_id"))
 
 
 def bm25_topk(spark, sf_dir):
-    return R.bm25(_queries(spark, sf_dir), _index(spark, sf_dir), "chunk_id")
+    return R.bm25(_queries(spark, sf_dir), _index(spark, sf_dir))
 
 
 def bm25_filtered_topk(spark, sf_dir):
     keep = _chunks(spark, sf_dir).where(FILTER.column())
-    return R.bm25(_queries(spark, sf_dir), _index(spark, sf_dir), "chunk_id", keep=keep)
+    return R.bm25(_queries(spark, sf_dir), _index(spark, sf_dir), keep=keep)
 
 
-def _opening(docs):
-    return docs.where("doc_id % 100 = 0").select(
-        F.col("doc_id").alias("query_id"), F.array_join(F.slice(bm25_tokens(F.col("text")), 1, 12), " ").alias("query"))
+def _self_queries(docs):
+    """The whole text of every hundredth document as a query."""
+    return docs.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.coalesce("text", F.lit("")).alias("query"))
 
 
 def self_retrieval_hits(spark, sf_dir):
-    """The opening words of every hundredth document as a query: the rank of that document itself."""
-    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
-    found = R.bm25(_opening(docs), _document_index(docs), "doc_id", k=10)
-    return found.where(F.col("doc_id") == F.col("query_id")).select("query_id", "rank", "score")
+    """Every hundredth document asked for with its own text: whether it is among the ten
+    best, and its rank and score (null where it is not)."""
+    asked = _self_queries(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = R.bm25(asked, _document_index(spark, sf_dir), k=10).where(F.col("doc_id") == F.col("query_id")).select("query_id", "rank", "score")
+    return asked.select("query_id").join(found, "query_id", "left").select("query_id", F.col("rank").isNotNull().alias("found"), "rank", "score")
 
 
 def _vec_queries(spark, sf_dir):
@@ -81,7 +115,7 @@ def multi_query_rrf(spark, sf_dir):
     variants = c.select(F.explode(F.array(
         F.struct(F.concat("case_id", F.lit("|a_query")).alias("query_id"), F.col("query").alias("query")),
         F.struct(F.concat("case_id", F.lit("|b_answer")).alias("query_id"), F.col("answer").alias("query")))).alias("v")).select("v.*")
-    found = R.bm25(variants, _index(spark, sf_dir), "chunk_id", k=20)
+    found = R.bm25(variants, _index(spark, sf_dir), k=20)
     legs = found.select(F.split("query_id", r"\|")[0].alias("query_id"), F.split("query_id", r"\|")[1].alias("leg"), "chunk_id", F.col("rank").alias("leg_rank"))
     return R.fuse(legs, "chunk_id")
 
@@ -97,11 +131,11 @@ def rerank_topk(spark, sf_dir):
 
 
 def document_hybrid_topk(spark, sf_dir):
-    """Full hybrid over documents: BM25 for every hundredth document's opening words,
+    """Full hybrid over documents: BM25 for the text of every hundredth document,
     fused with the nearest vectors.  A vector stands for the document of its id;
     that pairing is made up, the tables have none."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
-    sparse = R.bm25(_opening(docs), _document_index(docs), "doc_id", k=20).select("query_id", F.lit("sparse").alias("leg"), "doc_id", F.col("rank").alias("leg_rank"))
+    sparse = R.bm25(_self_queries(docs), _document_index(spark, sf_dir), k=20).select("query_id", F.lit("sparse").alias("leg"), "doc_id", F.col("rank").alias("leg_rank"))
     near = R.dense(_vec_queries(spark, sf_dir), load(spark, sf_dir, "embeddings"), k=20).select(
         "query_id", F.lit("dense").alias("leg"), F.col("vec_id").alias("doc_id"), F.col("rank").alias("leg_rank"))
     return R.fuse(sparse.unionByName(near), "doc_id")
@@ -154,7 +188,7 @@ def required_field_gaps(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     bm25_topk, bm25_filtered_topk, self_retrieval_hits, dense_cosine_topk, dense_dot_topk, hybrid_rrf_topk, hybrid_weighted_rrf, multi_query_rrf, rerank_topk,
     document_hybrid_topk, metadata_filter_conjunction, filter_tristate, page_overlap_filter, noise_filter, boilerplate_filter, unfinished_answers,
-    best_score_ladder, required_field_gaps)}
+    best_score_ladder, required_field_gaps, index_build_load_search, index_faults, bm25_distinct_tokens)}
 
 _TOK = "list_transform(regexp_extract_all(coalesce({c}, ''), '[A-Za-z][A-Za-z0-9_.+-]*|[0-9]+(?:\\.[0-9]+)*|[A-Za-z0-9]+'), lambda x: lower(x))"
 _NUM = "coalesce(TRY_CAST(regexp_extract({c}, '([0-9]+)$', 1) AS BIGINT) % 100 = 0, FALSE)"
@@ -184,12 +218,16 @@ def _fuse(weight: str, key: str = "chunk_id") -> str:
 
 
 _DOCPOST = f"""post AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_TOK.format(c='text')}) AS term FROM documents) GROUP BY 1, 2),
-        q AS (SELECT doc_id AS query_id, array_to_string(({_TOK.format(c='text')})[1:12], ' ') AS query FROM documents WHERE doc_id % 100 = 0)"""
+        q AS (SELECT doc_id AS query_id, coalesce(text, '') AS query FROM documents WHERE doc_id % 100 = 0)"""
 _BOIL = " OR ".join(f"contains(t, '{w}')" for w in P.BOILERPLATE)
 ORACLE = {
     "bm25_topk": f"WITH {CH}, {POST}, {_Q}, {_bm25('q')} SELECT query_id, chunk_id, score, rank FROM bm",
     "bm25_filtered_topk": f"WITH {CH}, {POST}, {_Q}, {_bm25('q', where=f'WHERE p.chunk_id IN (SELECT chunk_id FROM ch WHERE {_F})')} SELECT query_id, chunk_id, score, rank FROM bm",
-    "self_retrieval_hits": f"""WITH {_DOCPOST}, {_bm25('q', key='doc_id')} SELECT query_id, rank, score FROM bm WHERE doc_id = query_id""",
+    "self_retrieval_hits": f"""WITH {_DOCPOST}, {_bm25('q', key='doc_id')} SELECT q.query_id, bm.rank IS NOT NULL AS found, bm.rank, bm.score
+        FROM q LEFT JOIN bm ON bm.query_id = q.query_id AND bm.doc_id = q.query_id""",
+    "index_build_load_search": f"WITH {CH}, {POST}, {_Q}, {_bm25('q', k=5)} SELECT query_id, chunk_id, score, rank FROM bm",
+    "index_faults": "SELECT unnest(['null_keys_or_terms', 'bad_frequencies', 'repeated_postings', 'wrong_lengths', 'wrong_document_frequencies', 'texts_not_indexed', 'wrong_statistics']) AS counter, CAST(0 AS BIGINT) AS n",
+    "bm25_distinct_tokens": f"WITH {CH}, {POST}, one AS (SELECT chunk_id, term, 1 AS tf FROM post), {_Q}, {_bm25('q', post='one')} SELECT query_id, chunk_id, score, rank FROM bm",
     "dense_cosine_topk": f"WITH {_DENSE.format(f='list_cosine_similarity')} SELECT * FROM dn WHERE rank <= 10",
     "dense_dot_topk": f"WITH {_DENSE.format(f='list_dot_product')} SELECT * FROM dn WHERE rank <= 10",
     "hybrid_rrf_topk": f"WITH {_LEGS} {_fuse('1.0')}",

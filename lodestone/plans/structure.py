@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import corpus as C
+from ..operators import order as O
 from ..operators import structure as S
 from ..tables import load
 from .corpus import CH
@@ -16,8 +17,13 @@ def _manifest(spark, sf_dir):
     return m.groupBy("chunk_id").agg(F.max("doc_id").alias("doc_id"), F.max("section").alias("section"), F.min("page_start").alias("page"), F.max("char_count").alias("chars"))
 
 
+def _part(chunk_id: str):
+    """Bucket of a chunk along its paper: chunks are numbered with leading zeros."""
+    return F.floor(F.coalesce(F.regexp_extract(chunk_id, "([0-9]+)$", 1).try_cast("long"), F.lit(0)) / 500)
+
+
 def neighbor_links(spark, sf_dir):
-    return S.neighbours(_manifest(spark, sf_dir), "doc_id", "chunk_id")
+    return O.neighbours(_manifest(spark, sf_dir), "doc_id", "chunk_id", _part("chunk_id"))
 
 
 def page_chunk_numbers(spark, sf_dir):
@@ -27,17 +33,21 @@ def page_chunk_numbers(spark, sf_dir):
 
 def section_carry_forward(spark, sf_dir):
     """The last known heading of each chunk, carried along its paper."""
-    c = C.chunks(load(spark, sf_dir, "retrieval_hits")).withColumn("paper", F.regexp_replace("chunk_id", "_chunk_[0-9]+$", ""))
-    return S.carried(c, "paper", "chunk_id", "section_heading").select("chunk_id", "carried")
+    c = C.chunks(load(spark, sf_dir, "retrieval_hits")).select(
+        F.regexp_replace("chunk_id", "_chunk_[0-9]+$", "").alias("paper"), "chunk_id", "section_heading", _part("chunk_id").alias("part"))
+    return O.around(c, ["paper"], "chunk_id", "part", F.col("section_heading")).select("chunk_id", F.col("before").alias("carried"))
 
 
 def section_changes(spark, sf_dir):
     """Papers with the number of section changes and of body chunks after references."""
-    w = Window.partitionBy("doc_id").orderBy("chunk_id")
-    run = w.rowsBetween(Window.unboundedPreceding, -1)
-    m = _manifest(spark, sf_dir).withColumn("before", F.lag("section").over(w)).withColumn("seen", F.max((F.col("section") == "references").cast("int")).over(run))
-    return m.groupBy("doc_id").agg(F.count_if(F.col("before").isNotNull() & ~F.col("section").eqNullSafe(F.col("before"))).alias("n_changes"),
-                                   F.count_if((F.col("seen") == 1) & (F.col("section") != "references")).alias("n_after_references"))
+    m = _manifest(spark, sf_dir).withColumn("paper", F.coalesce("doc_id", F.lit(""))).withColumn("part", _part("chunk_id"))
+    # what stands before a row: its own value set aside by looking from the row before
+    prev = O.neighbours(m, "paper", "chunk_id", F.col("part")).select("chunk_id", "prev_id")
+    before = m.select(F.col("chunk_id").alias("prev_id"), F.col("section").alias("before"))
+    first_ref = m.where("section = 'references'").groupBy("paper").agg(F.min("chunk_id").alias("first_ref"))
+    j = m.join(prev, "chunk_id").join(before, "prev_id", "left").join(first_ref, "paper", "left")
+    return j.groupBy("doc_id").agg(F.count_if(F.col("before").isNotNull() & ~F.col("section").eqNullSafe(F.col("before"))).alias("n_changes"),
+                                   F.count_if((F.col("chunk_id") > F.col("first_ref")) & (F.col("section") != "references")).alias("n_after_references"))
 
 
 def dominant_section(spark, sf_dir):
@@ -50,11 +60,14 @@ def dominant_section(spark, sf_dir):
 def chunk_stats(spark, sf_dir):
     """Sizes per section: nearest-rank p10, upper median, p90, true median, interpolated p95."""
     v = _manifest(spark, sf_dir).where("chars IS NOT NULL")
-    g = v.groupBy("section").agg(F.sort_array(F.collect_list("chars")).alias("v"), F.round(F.avg("chars"), 2).alias("mean"), F.median("chars").alias("median"),
-                                 F.round(F.percentile("chars", 0.95), 4).alias("p95"))
-    return g.select("section", F.size("v").alias("n"), F.element_at("v", 1).alias("least"), S.nearest_rank(F.col("v"), 0.1).alias("p10"),
-                    F.element_at("v", F.floor(F.size("v") / 2).cast("int") + 1).alias("upper_median"), S.nearest_rank(F.col("v"), 0.9).alias("p90"),
-                    F.element_at("v", -1).alias("most"), "mean", "median", "p95")
+    rank = lambda q: lambda n: F.bround((n - 1) * F.lit(q), 0)
+    mid, median = O.interpolated("median", 0.5)
+    high, p95 = O.interpolated("p95", 0.95)
+    s = O.order_statistics(v, ["section"], "chars", {
+        "least": lambda n: F.lit(0), "p10": rank(0.1), "upper_median": lambda n: F.floor(n / 2), "p90": rank(0.9), "most": lambda n: n - 1, **mid, **high}, 64)
+    mean = v.groupBy(F.col("section").alias("of")).agg(F.round(F.avg("chars"), 2).alias("mean"))
+    return s.join(mean, F.col("section").eqNullSafe(F.col("of"))).select(
+        "section", F.col("n").cast("int").alias("n"), "least", "p10", "upper_median", "p90", "most", "mean", median.cast("double").alias("median"), F.round(p95, 4).alias("p95"))
 
 
 def _blocks(spark, sf_dir):
@@ -99,13 +112,19 @@ def inferred_chunk_types(spark, sf_dir):
 
 
 def nearest_body_chunk(spark, sf_dir):
-    """The nearest plain chunk of the same paper and section for every chunk with a table."""
-    c = C.chunks(load(spark, sf_dir, "retrieval_hits")).withColumn("paper", F.regexp_replace("chunk_id", "_chunk_[0-9]+$", "")).withColumn(
-        "no", F.regexp_extract("chunk_id", "([0-9]+)$", 1).cast("int"))
-    t = c.where("has_table").select("paper", "section", "chunk_id", "no", "page_start")
-    b = c.where("NOT has_table AND chunk_type = 'body'").select("paper", "section", F.col("chunk_id").alias("body_id"), F.col("no").alias("body_no"), F.col("page_start").alias("body_page"))
-    near = Window.partitionBy("chunk_id").orderBy((~F.col("page_start").eqNullSafe(F.col("body_page"))).cast("int"), F.abs(F.col("no") - F.col("body_no")), "body_no", "body_id")
-    return t.join(b, ["paper", "section"]).withColumn("n", F.row_number().over(near)).where("n = 1").select("chunk_id", "body_id")
+    """The nearest plain chunk of the same paper and section for every chunk with a table:
+    of the same page where there is one, then by number.  The nearest ones before and
+    after come from the order of the paper, on the page and in all."""
+    c = C.chunks(load(spark, sf_dir, "retrieval_hits")).where("section IS NOT NULL").select(
+        F.regexp_replace("chunk_id", "_chunk_[0-9]+$", "").alias("paper"), "section", "chunk_id", F.coalesce("page_start", F.lit(-1)).alias("page"),
+        F.regexp_extract("chunk_id", "([0-9]+)$", 1).cast("int").alias("no"), "has_table", "chunk_type", _part("chunk_id").alias("part"))
+    body = F.when(F.expr("NOT has_table AND chunk_type = 'body'"), F.struct("no", F.col("chunk_id").alias("id")))
+    a = O.around(c, ["paper", "section"], "chunk_id", "part", body).withColumnsRenamed({"before": "b1", "after": "a1"})
+    both = O.around(a, ["paper", "section", "page"], "chunk_id", "part", body).where("has_table")
+    near = [F.struct(F.lit(far).alias("far"), F.abs(F.col("no") - F.col(x)["no"]).alias("d"), F.col(x)["no"].alias("no"), F.col(x)["id"].alias("id"))
+            for far, x in ((0, "before"), (0, "after"), (1, "b1"), (1, "a1"))]
+    least = F.array_min(F.filter(F.array(*near), lambda z: z["id"].isNotNull()))
+    return both.withColumn("near", least).where("near IS NOT NULL").select("chunk_id", F.col("near.id").alias("body_id"))
 
 
 def _doc_blocks(spark, sf_dir):

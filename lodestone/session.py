@@ -26,13 +26,16 @@ def local_session(cores: int = 8, partitions: int = 8) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where it is unset (local tests) a temporary folder is made and set.
+    Where it is unset a local session gets a temporary folder; on a cluster, whose
+    executors would each see their own, it is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = known.get() if known.isDefined() else None
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-lodestone-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -45,6 +48,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     lost executor loses nothing and readers fetch only the columns they use.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/lodestone/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/lodestone/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def remove_written(spark: SparkSession) -> None:
+    """Delete all tables that :func:`written` made in this session.  Results that
+    were not read yet need them, so call it when all results have been stored."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/lodestone/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

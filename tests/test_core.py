@@ -12,6 +12,7 @@ from lodestone.functions import text as T
 from lodestone.functions import vectors as V
 from lodestone.operators import audit as A
 from lodestone.operators import corpus as C
+from lodestone.operators import index as X
 from lodestone.operators import filters as P
 from lodestone.operators import memory as E
 from lodestone.operators import metrics as M
@@ -54,7 +55,7 @@ def test_bm25_against_brute_force(spark):
     docs["d90"] = None
     queries = {"q1": "w1 w2 w2 unknown", "q2": "w5", "q3": "", "q4": None}
     post = C.postings(spark.createDataFrame(list(docs.items()), "id string, text string"), "id")
-    got = R.bm25(spark.createDataFrame(list(queries.items()), "query_id string, query string"), post, "id")
+    got = R.bm25(spark.createDataFrame(list(queries.items()), "query_id string, query string"), X.of_postings(post, "id"))
     assert sorted((r.query_id, r.id, r.rank) for r in got.collect()) == brute_bm25(queries, docs)
 
 
@@ -168,12 +169,6 @@ def test_metrics_of_empty_inputs(spark):
 def test_gap_sessions_and_carry(spark):
     df = spark.sql("SELECT * FROM VALUES ('u', TIMESTAMP_NTZ '2025-01-01 00:00:00', 1, 'h'), ('u', TIMESTAMP_NTZ '2025-01-01 00:10:00', 2, NULL), ('u', TIMESTAMP_NTZ '2025-01-01 02:00:00', 3, NULL) AS t(g, ts, id, v)")
     assert [r.session for r in S.gap_sessions(df, "g", "ts", "id", 3600).orderBy("id").collect()] == [0, 0, 1]
-    assert [r.carried for r in S.carried(df, "g", "id", "v").orderBy("id").collect()] == ["h", "h", "h"]
-
-
-@pytest.mark.parametrize("n, q, want", [(1, 0.9, 1), (11, 0.1, 2), (4, 0.5, 3)])
-def test_nearest_rank_rounds_half_to_even(spark, n, q, want):
-    assert spark.range(1).select(S.nearest_rank(F.sequence(F.lit(1), F.lit(n)), q).alias("x")).first().x == want
 
 
 def test_hits_without_text_are_reranked_by_the_text_of_their_chunk(spark, tmp_path):
@@ -185,3 +180,17 @@ def test_hits_without_text_are_reranked_by_the_text_of_their_chunk(spark, tmp_pa
         str(tmp_path / "citation_audit_v1_queries.parquet"))
     got = {r.id: r.score for r in audit_plans.rerank_backend_scores(spark, str(tmp_path)).collect()}
     assert sorted(got) == ["1", "2"] and got["1"] == got["2"]
+
+
+def test_stored_index_is_checked(spark, tmp_path):
+    texts = spark.createDataFrame([("a", "dense index dense"), ("b", "index list"), ("c", ""), ("d", None), (None, "x")], "id string, text string")
+    path = str(tmp_path / "index")
+    X.build(texts, "id", path)
+    index = X.load(spark, path, "id", strict=True)
+    assert {r.counter: r.n for r in X.faults(index, texts.where("id IN ('a', 'b', 'c')")).where("n > 0").collect()} == {"texts_not_indexed": 1}
+    index.postings.where("term <> 'dense'").withColumn("part", F.lit(0)).write.parquet(str(tmp_path / "bad" / "postings"))
+    index.stats.write.parquet(str(tmp_path / "bad" / "stats"))
+    with pytest.raises(ValueError, match="wrong_lengths"):
+        X.load(spark, str(tmp_path / "bad"), "id", strict=True)
+    X.build(texts.limit(0), "id", path)
+    assert X.load(spark, path, "id", strict=True).postings.count() == 0
