@@ -25,8 +25,8 @@ _NUMBER = r"(?i)^(?:\d{1,4}|[-–—] ?\d{1,4} ?[-–—]|\[ \d{1,4} \]|(?:page|
 _EDGE = r"^\d{1,4}(?:\s{2,}|\s*\|\s*)|(?:\s{2,}|\s*\|\s*)\d{1,4}$"
 #: Contexts that may be broadcast.
 _SMALL = 50_000
-# Beginnings and ends of stamps that printers set as heads.
-_STAMP = r"^(?:preprint|underreview|draftof|acceptedmanuscript|authorversion)|(?:vol|volume)#$"
+# Beginnings of stamps that printers set as heads.
+_STAMP = r"^(?:preprint|underreview|draftof|acceptedmanuscript|authorversion)"
 
 
 def _plain(c: Column) -> Column:
@@ -36,13 +36,14 @@ def _plain(c: Column) -> Column:
 def _titled(c: Column) -> Column:
     """Every word of four letters or more starts with a capital, or the letters
     are set apart, and no full stop ends the line."""
-    apart = c.rlike(r"(?:\b\w ){4}")
+    letters = F.length(F.translate(c, " ", ""))
+    apart = (letters * 10 <= F.length(c) * 7) & c.rlike(r"(?:\b\w ){4}")
     return (apart | ~c.rlike(r"(?:^|[\s(])[a-z][\w’'-]{3,}")) & c.rlike(r"[A-Z].*[A-Za-z]{2}|[A-Z] ") & (~c.rlike(r"[.!?:;,]\s*$") | c.rlike(r"(?:\bal|a l )\.$"))
 
 
 def lines(chunks: DataFrame) -> DataFrame:
-    """chunk_id, paper, pos, line, s (stripped), core (without a number at its edge) and
-    masked of every line of a text that has line breaks.
+    """chunk_id, paper, pos, s (the line, stripped), edged (whether a number stands at its
+    edge) and masked of every line of a text that has line breaks.
 
     ``chunks``: chunk_id, paper, author, title, text.  ``masked`` is set for lines that
     may be heads: letters only, digits as ``#``, the title (or its beginning) as ``T:``,
@@ -56,9 +57,10 @@ def lines(chunks: DataFrame) -> DataFrame:
     titled = (F.length(k) >= 10) & F.startswith("title", k) & ~F.col("core").rlike(r"[.!?;,]\s*$")
     named = (F.length("author") >= 3) & F.startswith(k, F.col("author")) & F.substring(k, F.length("author") + 1, F.length(k)).rlike(r"^(?:etal|and[a-z]{2,20})$")
     digits = F.regexp_replace("k", r"\d+", "#")
-    stamped = digits.rlike(_STAMP) & F.when(digits.rlike("vol(?:ume)?#$"), _titled(F.col("core"))).otherwise(~F.col("core").rlike("[a-z],"))
-    return cut.withColumn("masked", F.when(titled, "T:").when(named, "A:").when(stamped, F.concat(F.lit("S:"), F.regexp_extract(digits, _STAMP, 0))).when(
-        (F.length(k) >= 10) & worded & _titled(F.col("core")), digits)).select("chunk_id", "paper", "pos", "line", "s", "core", "masked")
+    volume = k.rlike(r"vol(?:ume)?\d{1,4}$") & _titled(F.col("core"))
+    stamped = volume | (k.rlike(_STAMP) & ~F.col("core").rlike("[a-z],"))
+    return cut.withColumn("masked", F.when(titled, "T:").when(named, "A:").when(stamped, F.when(volume, "S:vol").otherwise(F.concat(F.lit("S:"), F.regexp_extract(k, _STAMP, 0)))).when(
+        (F.length(k) >= 10) & worded & _titled(F.col("core")), digits)).select("chunk_id", "paper", "pos", "s", (F.col("core") != F.col("s")).alias("edged"), "masked")
 
 
 def noise_lines(split: DataFrame, repeats: int = 2) -> DataFrame:
@@ -75,7 +77,7 @@ def noise_lines(split: DataFrame, repeats: int = 2) -> DataFrame:
         split.where(F.col("masked").isNull()).withColumn("n_chunks", F.lit(None).cast("long")))
     alone = F.coalesce((F.length("s") <= 20) & F.col("s").rlike(_NUMBER), F.lit(False))
     return joined.withColumn("is_header", F.col("n_chunks").isNotNull() & ~alone).withColumn(
-        "is_number", alone | (F.col("is_header") & F.coalesce(F.col("core") != F.col("s"), F.lit(False))))
+        "is_number", alone | (F.col("is_header") & F.coalesce("edged", F.lit(False))))
 
 
 def bare(c: Column) -> Column:
@@ -94,9 +96,10 @@ def _uncut() -> Column:
 
 
 def tokens(chunks: DataFrame) -> DataFrame:
-    """chunk_id and w, the words of every text (hyphens kept, words cut at a line end left out)."""
-    return chunks.where(F.col("text").isNotNull()).select(
-        "chunk_id", F.regexp_extract_all(_uncut(), F.lit(rf"{_SIGNED}(?:-{_SIGNED})*+"), F.lit(0)).alias("w"))
+    """chunk_id, w, the words of every text (hyphens kept, words cut at a line end left out),
+    and parts, the same cut at their hyphens."""
+    return chunks.where(F.col("text").isNotNull()).select("chunk_id", _uncut().alias("u")).select(
+        "chunk_id", F.regexp_extract_all("u", F.lit(rf"{_SIGNED}(?:-{_SIGNED})*+"), F.lit(0)).alias("w"), F.regexp_extract_all("u", F.lit(_SIGNED), F.lit(0)).alias("parts"))
 
 
 def vocabulary(split: DataFrame) -> DataFrame:
@@ -156,9 +159,8 @@ def misread_words(split: DataFrame, words: DataFrame) -> DataFrame:
     or after it (the next but one where that is misread too) it occurs elsewhere."""
     parts = words.select(F.explode(F.split("word", "-")).alias("word"), "n").groupBy("word").agg(F.sum("n").alias("n"))
     bad = written(misreadings(parts), "misread-forms")
-    w = F.flatten(F.transform("w", lambda x: F.split(x, "-")))
     none = F.array(F.lit(None).cast("string"))
-    flat = split.select("chunk_id", w.alias("w"))
+    flat = split.select("chunk_id", F.col("parts").alias("w"))
     around = {"b2": F.concat(none, none, "w"), "b1": F.concat(none, "w"), "word": F.col("w"), "a1": F.slice("w", F.lit(2), F.size("w")), "a2": F.slice("w", F.lit(3), F.size("w"))}
     own = flat.select("chunk_id", F.explode(F.arrays_zip(*[c.alias(k) for k, c in around.items()])).alias("z")).select("chunk_id", "z.*").where(F.length("word") >= 3)
     found = written(own.join(bad, "word"), "misread-found")
@@ -178,7 +180,8 @@ def misread_words(split: DataFrame, words: DataFrame) -> DataFrame:
 def _prepared(chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(texts, marked lines, tokens, vocabulary), each written once and read by several jobs."""
     texts = written(chunks.select("chunk_id", "paper", "author", "title", "text"), "page-texts")
-    marked = written(noise_lines(lines(texts)).select("chunk_id", "pos", "line", "s", "is_header", "is_number"), "page-lines")
+    cut = written(lines(texts), "page-cut")
+    marked = written(noise_lines(cut).select("chunk_id", "pos", "s", "is_header", "is_number"), "page-lines")
     split = written(tokens(texts), "page-tokens")
     return texts, marked, split, written(vocabulary(split), "page-words")
 
