@@ -25,7 +25,7 @@ from ..session import written
 
 #: Hashed vocabulary; kept directions; passage lengths (words).  Passages of a document
 #: begin half a length apart, those of an item an eighth.
-HASHED, KEPT, PASSAGES = 1 << 14, 64, (16, 24, 32)
+HASHED, KEPT, PASSAGES = 1 << 14, 64, (16, 32)
 _TAG = r"</?[A-Za-z][^<>]{0,40}>"
 
 
@@ -134,7 +134,7 @@ def _add_rows(out: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
     out[at[starts]] += np.add.reduceat(rows[order], starts, axis=0)
 
 
-def latent_basis(encoded: DataFrame, weights: np.ndarray, n: int, sample: int = 8_000, passes: int = 2, tasks: int = 12, seed: int = 5) -> np.ndarray:
+def latent_basis(encoded: DataFrame, weights: np.ndarray, n: int, sample: int = 4_000, passes: int = 2, tasks: int = 12, seed: int = 5) -> np.ndarray:
     """Term matrix (``HASHED`` x ``KEPT``) of the randomised SVD of the passages.
 
     Fitted on about ``sample`` of the ``n`` documents, those whose id hashes below
@@ -148,7 +148,7 @@ def latent_basis(encoded: DataFrame, weights: np.ndarray, n: int, sample: int =
     width, rows_in_block = KEPT + 16, 256
     basis = rng.standard_normal((HASHED, width)).astype(np.float32)
     chosen = written(encoded.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) <= int(min(1.0, sample / max(n, 1)) * (1 << 20))).repartition(tasks, "id"), "leak-sample")
-    size, step = PASSAGES[1], PASSAGES[1] // 2
+    size, step = 24, 12
 
     def total(group: pd.DataFrame) -> pd.DataFrame:
         z = sum(np.frombuffer(b, np.float64) for b in group["data"])
@@ -198,7 +198,7 @@ def latent_basis(encoded: DataFrame, weights: np.ndarray, n: int, sample: int =
 
 
 #: Index of the item passages: tables, hyperplanes per table, least sure planes that a query may miss.
-TABLES, PLANES, UNSURE = 6, 16, 4
+TABLES, PLANES, UNSURE = 6, 14, 3
 
 
 def hyperplanes(seed: int = 11) -> np.ndarray:
@@ -235,19 +235,18 @@ class _Index:
     def near(self, v: np.ndarray, planes: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
         """Rows of ``v`` and of the index with a cosine of at least ``threshold``, of those that meet in a table."""
         keys = _keys(v @ planes - self.middle)
-        met = []
+        near = [np.empty(0, np.int64)]
         for t in range(TABLES):
             first = self.first[t]
-            n = first[keys[:, t] + 1] - first[keys[:, t]]
+            start = first[keys[:, t]]
+            n = first[keys[:, t] + 1] - start
             x = np.repeat(np.arange(len(v)), n)
-            y = self.rows[t][np.repeat(first[keys[:, t]] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())]
-            met.append(x.astype(np.int64) * len(self.own) + y)
-        pair = np.unique(np.concatenate(met))
-        out = []
-        for k in range(0, len(pair), 100_000):  # bounded memory
-            x, y = np.divmod(pair[k : k + 100_000], len(self.own))
-            out.append(pair[k : k + 100_000][np.einsum("ij,ij->i", v[x], self.vectors[y]) >= threshold])
-        return np.divmod(np.concatenate(out) if out else pair, len(self.own))
+            y = self.rows[t][np.repeat(start - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())]
+            for k in range(0, len(x), 100_000):  # bounded memory
+                i, j = x[k : k + 100_000], y[k : k + 100_000]
+                keep = np.einsum("ij,ij->i", v[i], self.vectors[j]) >= threshold
+                near.append(i[keep].astype(np.int64) * len(self.own) + j[keep])
+        return np.divmod(_distinct(np.concatenate(near)), len(self.own))
 
 
 class _Items:
@@ -287,7 +286,7 @@ class _Items:
 
     def possible(self, runs: np.ndarray) -> np.ndarray:
         """Whether a document with these runs has as many different ones of each item as the rule asks for at the least."""
-        r = np.unique(runs)
+        r = _distinct(runs)
         at = np.minimum(np.searchsorted(self.runs, r), max(len(self.runs) - 1, 0))
         at = at[self.runs[at] == r] if len(self.runs) else at[:0]
         n = self.run_count[at]
@@ -295,6 +294,12 @@ class _Items:
         return np.bincount(self.run_items[rows], minlength=len(self.ids)) >= self.least
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """The different values, sorted (for small arrays quicker than hashing)."""
+    x = np.sort(x)
+    return x[np.r_[True, x[1:] != x[:-1]]] if len(x) else x
+
+
 def _runs(w: np.ndarray, k: int) -> np.ndarray:
     """Hashes of the runs of ``k`` words (none where the text is shorter)."""
     x = w.astype(np.uint64)
@@ -319,16 +324,19 @@ def common_stretch(item: np.ndarray, doc: np.ndarray, need: int, errors: float)
     e = np.arange(most + 1)
     at = np.arange(-most, m + 1)[None, :] + e[:, None]  # document words read, per (e, column)
     word = np.where((at >= 1) & (at <= m), doc.astype(np.int64)[np.clip(at - 1, 0, max(m - 1, 0))], -1)
-    inside = (at >= 0) & (at <= m)
-    best = np.where(inside, 0, far).astype(np.int32)
+    outside = np.where((at >= 0) & (at <= m), np.int32(0), far)
+    best = outside.copy()
+    unlike = {int(w): np.where(word[:, 1:] == w, np.int32(0), far) for w in np.unique(item)}
+    same = np.empty_like(best[:, 1:])
     for i in range(1, n + 1):
-        new = np.where(inside, np.int32(i), far)
-        np.minimum(new[:, 1:], np.where(word[:, 1:] == item[i - 1], best[:, :-1], far), out=new[:, 1:])
+        new = outside + np.int32(i)
+        np.add(best[:, :-1], unlike[int(item[i - 1])], out=same)
+        np.minimum(new[:, 1:], same, out=new[:, 1:])
         if most:
             np.minimum(new[1:], best[:-1], out=new[1:])  # changed
             np.minimum(new[1:, :-1], best[:-1, 1:], out=new[1:, :-1])  # dropped
             np.minimum.accumulate(new, axis=0, out=new)  # added
-            new[~inside] = far
+            np.maximum(new, outside, out=new)
         if i >= need:
             length = i - new.min(axis=1)
             if ((length >= need) & (e <= length * errors)).any():
@@ -382,16 +390,20 @@ class Copies:
         self.errors = errors
 
     def least(self, item: np.ndarray, need: int) -> int:
-        """Every error spoils two pairs of successive words at most; pairs that the item repeats count once."""
-        return need - 1 - 2 * int(len(item) * self.errors) - (max(len(item) - 1, 0) - len(np.unique(_runs(item, 2))))
+        """Pairs that the item repeats count once."""
+        return self.pairs(len(item), need) - (max(len(item) - 1, 0) - len(np.unique(_runs(item, 2))))
+
+    def pairs(self, n: int, need: int) -> int:
+        """Pairs of successive words that any stretch has in common: of its own length less
+        one, every error spoils two at most."""
+        return min((k - 1 - 2 * int(k * self.errors) for k in range(need, n + 1)), default=0)
 
     def holds(self, items: "_Items", i: int, doc: np.ndarray, theirs: np.ndarray, places: np.ndarray) -> bool:
         item, need, (own, order) = items.words[i], items.need[i], items.sorted_runs[i]
         at = np.minimum(np.searchsorted(own, theirs), max(len(own) - 1, 0)) if len(own) else np.empty(0, np.int64)
         shared = np.flatnonzero(own[at] == theirs) if len(own) else at
         # only where enough of the pairs stand together can there be a stretch
-        wrong = int(len(item) * self.errors)
-        pairs, reach = need - 1 - 2 * wrong, need + wrong
+        pairs, reach = self.pairs(len(item), need), len(item) + int(len(item) * self.errors)
         if pairs <= 0:
             return common_stretch(item, doc, need, self.errors)
         if len(shared) < pairs:
@@ -431,14 +443,25 @@ class Paraphrases:
         return False
 
 
-def _searcher(items: "_Items", terms_b, planes: np.ndarray, threshold: float, rule: "Copies | Paraphrases", batch_docs: int = 64):
+def _parts(coded: list[np.ndarray], most: int = 8_192) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """Start and members of successive groups of texts with about ``most`` words at most (bounded memory)."""
+    lo, held = 0, 0
+    for k, w in enumerate(coded):
+        if k > lo and held + len(w) > most:
+            yield lo, coded[lo:k]
+            lo, held = k, 0
+        held += len(w)
+    if coded:
+        yield lo, coded[lo:]
+
+
+def _searcher(items: "_Items", terms_b, planes: np.ndarray, threshold: float, rule: "Copies | Paraphrases"):
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         terms = terms_b.value
         for batch in batches:
             ids, coded = batch["id"].to_numpy(), [np.frombuffer(w, np.uint32) for w in batch["w"]]
             doc, item = [], []
-            for lo in range(0, len(ids), batch_docs):
-                part = coded[lo : lo + batch_docs]
+            for lo, part in _parts(coded):
                 # one running sum over all documents of the part; passages never cross a document
                 end = np.cumsum([len(w) for w in part])
                 sums = _running(terms[(np.concatenate(part) & np.uint32(HASHED - 1)).astype(np.int64)].astype(np.float32))
@@ -494,7 +517,7 @@ def _search(documents: DataFrame, items: DataFrame, share: float, threshold: flo
     return out.distinct()
 
 
-def leaks(documents: DataFrame, items: DataFrame, share: float = 0.5, errors: float = 0.1, threshold: float = 0.88,
+def leaks(documents: DataFrame, items: DataFrame, share: float = 0.5, errors: float = 0.1, threshold: float = 0.9,
           block: int = 2000, basis=latent_terms) -> DataFrame:
     """doc_id, item_id of every document that contains an item.
 
