@@ -221,7 +221,8 @@ def all_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def classes(members: DataFrame, links: DataFrame) -> DataFrame:
-    """One row per id: its tkey (class of equal texts), copies, links to other texts."""
-    n = members.groupBy("tkey").agg(F.count("*").alias("n_copies"))
+    """id, class_id (the least id with an equal text), n_copies, n_links (to other texts):
+    one row per id and different text."""
+    n = members.groupBy("tkey").agg(F.count("*").alias("n_copies"), F.min("id").alias("class_id"))
     ends = links.select(F.explode(F.array("a", "b")).alias("tkey")).groupBy("tkey").agg(F.count("*").alias("n_links"))
-    return members.join(n, "tkey").join(ends, "tkey", "left").select("id", "tkey", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return members.join(n, "tkey").join(ends, "tkey", "left").select("id", "class_id", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))

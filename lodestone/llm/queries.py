@@ -144,6 +144,17 @@ s AS (SELECT DISTINCT chunk_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS r
 n AS (SELECT chunk_id, count(*) AS n FROM s GROUP BY 1),
 p AS (SELECT a.chunk_id AS x, b.chunk_id AS y, count(*) AS k FROM s a JOIN s b ON a.r = b.r AND a.chunk_id < b.chunk_id GROUP BY 1, 2)
 SELECT x AS chunk_id_a, y AS chunk_id_b FROM p JOIN n u ON x = u.chunk_id JOIN n v ON y = v.chunk_id WHERE 2 * k >= u.n + v.n - k
+""",
+    "p2_classes": r"""
+WITH m AS (SELECT DISTINCT chunk_id, text FROM retrieval_hits WHERE text IS NOT NULL AND chunk_id IS NOT NULL AND len(regexp_extract_all(lower(text), '[a-z0-9]+')) >= 20),
+t AS (SELECT text, min(chunk_id) AS class_id, count(*) AS n_copies, row_number() OVER (ORDER BY text) AS k FROM m GROUP BY 1),
+c AS (SELECT k, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM t),
+s AS (SELECT DISTINCT k, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS r FROM (SELECT k, w, unnest(range(1, len(w) - 1)) AS i FROM c)),
+n AS (SELECT k, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.k AS x, b.k AS y, count(*) AS c FROM s a JOIN s b ON a.r = b.r AND a.k < b.k GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n u ON x = u.k JOIN n v ON y = v.k WHERE 2 * c >= u.n + v.n - c),
+e AS (SELECT k, count(*) AS n_links FROM (SELECT x AS k FROM l UNION ALL SELECT y FROM l) GROUP BY 1)
+SELECT chunk_id, class_id, n_copies, coalesce(n_links, 0) AS n_links FROM m JOIN t ON m.text = t.text LEFT JOIN e ON t.k = e.k
 """,
     "p5_found": _P5 + "SELECT chunk_id, boundary FROM found",
     "p5_check": _P5 + r"""SELECT chunk_id, length(regexp_replace(text, '\s', '', 'g')) AS n_chars, true AS in_limit, true AS short_overlap, true AS numbered, boundary FROM found""",

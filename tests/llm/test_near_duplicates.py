@@ -70,5 +70,5 @@ def test_hot_group_goes_to_the_join(spark):
 def test_classes(spark):
     words = " ".join(f"v{i}" for i in range(30))
     m, links = N.near_duplicates(frame(spark, [("a", words), ("b", words), ("c", words + " more")]))
-    got = {r.id: (r.n_copies, r.n_links) for r in N.classes(m, links).collect()}
-    assert got == {"a": (2, 1), "b": (2, 1), "c": (1, 1)}
+    got = {r.id: (r.class_id, r.n_copies, r.n_links) for r in N.classes(m, links).collect()}
+    assert got == {"a": ("a", 2, 1), "b": ("a", 2, 1), "c": ("c", 1, 1)}
