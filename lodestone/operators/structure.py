@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import groupby
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -64,18 +67,18 @@ def build_chunks(blocks: DataFrame, most: int = 1600, target: int = 1200, least:
     one before it in its section; ``overlap`` sentences of the chunk before, in the
     same section and where they fit, come first, but never into references.
     Result: doc_id, chunk_no, section, first_block, last_block, text, n_overlap.
-    The state runs through a document, so one document is one group; documents are
-    spread over the cluster.  Blank blocks are left out.
+    The state runs through a document, whose blocks come in order within one task;
+    documents are spread over the cluster.  Blank blocks are left out.
     """
     schema = "doc_id string, chunk_no int, section string, first_block int, last_block int, text string, n_overlap int"
 
-    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+    def pack(doc: str, rows) -> list[tuple]:
         import re
 
         cut = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])")
         made: list[list] = []  # section, first, last, parts
-        for r in rows.sort_values("block_no").itertuples():
-            text = (r.text or "").strip()
+        for _, block_no, in_section, raw in rows:
+            text = (raw or "").strip()
             if not text:
                 continue
             pieces = [text]
@@ -96,13 +99,13 @@ def build_chunks(blocks: DataFrame, most: int = 1600, target: int = 1200, least:
                 if held:
                     pieces.append(held)
             for piece in pieces:
-                if made and made[-1][0] == r.section:
+                if made and made[-1][0] == in_section:
                     size = sum(len(p) for p in made[-1][3]) + 2 * (len(made[-1][3]) - 1)
                     if size + 2 + len(piece) <= most and (size < target or len(piece) < least):
-                        made[-1][2] = r.block_no
+                        made[-1][2] = block_no
                         made[-1][3].append(piece)
                         continue
-                made.append([r.section, r.block_no, r.block_no, [piece]])
+                made.append([in_section, block_no, block_no, [piece]])
         out, before = [], None
         for i, (section, first, last, parts) in enumerate(made):
             text, n = "\n\n".join(parts), 0
@@ -116,7 +119,19 @@ def build_chunks(blocks: DataFrame, most: int = 1600, target: int = 1200, least:
                     before = (section, text)
             else:
                 before = (section, text)
-            out.append((rows["doc_id"].iloc[0], i, section, first, last, text, n))
-        return pd.DataFrame(out, columns=["doc_id", "chunk_no", "section", "first_block", "last_block", "text", "n_overlap"])
-
-    return blocks.groupBy("doc_id").applyInPandas(pack, schema)
+            out.append((doc, i, section, first, last, text, n))
+        return out
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["doc_id", "chunk_no", "section", "first_block", "last_block", "text", "n_overlap"]
+        rows = (r for b in batches for r in zip(b["doc_id"], b["block_no"], b["section"], b["text"]))
+        made: list[tuple] = []
+        for doc, own in groupby(rows, key=lambda r: r[0]):
+            made += pack(doc, own)
+            if len(made) >= 2000:
+                yield pd.DataFrame(made, columns=names)
+                made = []
+        yield pd.DataFrame(made, columns=names)
+
+    ordered = blocks.select("doc_id", "block_no", "section", "text").repartition("doc_id").sortWithinPartitions("doc_id", "block_no")
+    return ordered.mapInPandas(run, schema)

@@ -180,6 +180,7 @@ _BOIL = " OR ".join(f"contains(low, '{w}')" for w in P.BOILERPLATE)
 _ALIGN = f"""ex AS (SELECT case_id, CAST(i - 1 AS INTEGER) AS exp_no, e[i].text AS text FROM (SELECT case_id, max(expected_claims) AS e, unnest(range(1, len(max(expected_claims)) + 1)) AS i FROM citation_audit_v1_queries GROUP BY case_id)), {_CL},
 d AS (SELECT ex.case_id, exp_no, claim_id, {{tok}} AS a, {{tok2}} AS b FROM ex JOIN cl ON ex.case_id = cl.case_id)"""
 _PT = "list_distinct(list_filter(regexp_extract_all(lower(coalesce({c}, '')), '[a-z0-9]+'), lambda x: length(x) > 1))"
+_PW = "list_distinct(regexp_extract_all(lower(coalesce({c}, '')), '[a-z0-9]{{2,}}'))"
 ORACLE = {
     "claim_evidence_overlap": f"WITH {_SC} SELECT claim_id, chunk_id, score FROM sc",
     "claim_verdicts": f"WITH {_SC}, {_VD} SELECT * FROM vd",
@@ -216,4 +217,14 @@ ORACLE = {
         h AS (SELECT DISTINCT query_id, {_norm('chunk_id')} AS chunk_id FROM retrieval_hits) SELECT c.case_id, count(*) AS n_cited, count(*) FILTER (WHERE h.chunk_id IS NULL) AS n_lost FROM c LEFT JOIN h ON c.case_id = h.query_id AND c.chunk_id = h.chunk_id GROUP BY 1""",
     "missing_entities": f"""WITH {_AN}, m AS (SELECT case_id, list_sort(list_filter(list_distinct(regexp_extract_all(query, '[A-Z][a-z]+[A-Z0-9-][A-Za-z0-9-]*')), lambda n: NOT contains(coalesce(answer, ''), n))) AS m FROM an)
         SELECT case_id, array_to_string(m, ';') AS missing FROM m WHERE len(m) > 0""",
+    "rerank_backend_scores": f"""WITH {_AN}, {_CH}, h AS (SELECT hit_id, max(query_id) AS query_id, max(chunk_id) AS chunk_id, max(text) AS text FROM retrieval_hits WHERE fusion_rank <= 20 GROUP BY 1),
+        t AS (SELECT h.hit_id, {_PW.format(c='an.query')} AS q, {_PW.format(c='coalesce(h.text, chx.text)')} AS p FROM h JOIN an ON an.case_id = h.query_id LEFT JOIN chx ON h.chunk_id = chx.chunk_id WHERE coalesce(h.text, chx.text) IS NOT NULL)
+        SELECT CAST(hit_id AS VARCHAR) AS id, round(len(list_intersect(q, p)) / greatest(1, len(q)), 6) AS score FROM t""",
+    "claim_alignment_greedy": "WITH RECURSIVE " + _ALIGN.format(tok=_PT.format(c="ex.text"), tok2=_PT.format(c="cl.text")) + """,
+        s AS (SELECT * FROM (SELECT case_id, exp_no, claim_id, round(coalesce(2 * len(list_intersect(a, b)) / nullif(len(a) + len(b), 0), 0), 6) AS score FROM d) WHERE score >= 0.55),
+        r AS (SELECT case_id, [exp_no] AS te, [claim_id] AS tf, exp_no, claim_id, score FROM s QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY score DESC, exp_no, claim_id) = 1
+          UNION ALL (SELECT case_id, list_append(te, e), list_append(tf, c), e, c, x FROM (SELECT r.case_id, te, tf, s.exp_no AS e, s.claim_id AS c, s.score AS x,
+            row_number() OVER (PARTITION BY r.case_id ORDER BY s.score DESC, s.exp_no, s.claim_id) AS n FROM r JOIN s ON r.case_id = s.case_id
+            WHERE NOT list_contains(te, s.exp_no) AND NOT list_contains(tf, s.claim_id)) WHERE n = 1))
+        SELECT case_id, exp_no, claim_id, score FROM r""",
 }

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import audit, corpus, evaluation, grounding, metrics, references, relational, retrieval, runs, stores, streams, structure
+from . import audit, corpus, evaluation, grounding, metrics, references, relational, retrieval, runs, stores, streams, structure, texts
 
-_MODULES = (references, corpus, retrieval, metrics, evaluation, audit, grounding, structure, runs, relational, streams, stores)
+_MODULES = (references, corpus, retrieval, metrics, evaluation, audit, grounding, structure, runs, relational, streams, stores, texts)
 
 QUERIES: dict = {}
 ORACLE: dict = {}

@@ -48,7 +48,14 @@ def stream_deduplicated(spark, sf_dir):
     return E.run(s.select("event_id", "event_type", F.date_format("ts", "yyyy-MM-dd").alias("day"))).groupBy("event_type", "day").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (events_tumbling, events_sliding, events_session, stream_tumbling, stream_latest_state, stream_deduplicated)}
+def stream_manifest_latest(spark, sf_dir):
+    """The manifest kept up by micro-batches: of every chunk the row ingested last."""
+    s = E.read_stream(spark, f"{sf_dir}/corpus_manifest.parquet", files=4).where("chunk_id IS NOT NULL").select("chunk_id", "ingested_at", "loaded_at", "content_hash", "deleted_at")
+    latest = E.run_batches(s, "chunk_id", ["ingested_at", "loaded_at", "content_hash", "deleted_at"])
+    return latest.select("chunk_id", "content_hash", F.col("deleted_at").isNull().alias("lives"))
+
+
+QUERIES = {f.__name__: f for f in (events_tumbling, events_sliding, events_session, stream_tumbling, stream_latest_state, stream_deduplicated, stream_manifest_latest)}
 
 _T = "SELECT CAST(epoch(time_bucket(INTERVAL '1 hour', ts)) AS BIGINT) AS start_s, event_type, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents FROM events"
 ORACLE = {
@@ -59,4 +66,6 @@ ORACLE = {
     "stream_tumbling": f"SELECT * FROM ({_T} GROUP BY 1, 2) WHERE start_s + 3600 <= (SELECT epoch(max(ts)) - 600 FROM events)",
     "stream_latest_state": "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
     "stream_deduplicated": "SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM (SELECT DISTINCT ON (event_id) * FROM events) GROUP BY 1, 2",
+    "stream_manifest_latest": """SELECT chunk_id, content_hash, deleted_at IS NULL AS lives FROM corpus_manifest WHERE chunk_id IS NOT NULL
+        QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY ingested_at DESC NULLS LAST, loaded_at DESC NULLS LAST, content_hash DESC NULLS LAST, deleted_at DESC NULLS LAST) = 1""",
 }

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 def upsert(current: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     """``current`` with the rows of ``changes`` in place of those with the same key.
-    Of repeated keys among the changes any one counts."""
-    fresh = changes.dropDuplicates([key]).select(*current.columns)
+    Of repeated keys among the changes the greatest row counts (columns in order)."""
+    rest = [c for c in current.columns if c != key]
+    fresh = changes.groupBy(key).agg(F.max(F.struct(*rest)).alias("_r")).select(key, "_r.*").select(*current.columns) if rest else changes.select(key).distinct()
     return current.join(fresh.select(key), key, "left_anti").select(*fresh.columns).unionByName(fresh)
 
 

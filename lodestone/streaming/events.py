@@ -29,10 +29,14 @@ def read_stream(spark: SparkSession, path: str, files: int | None = None) -> Dat
     return stream.option("pathGlobFilter", place.getName()).parquet(str(place.getParent()))
 
 
-def run(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Run to the end of what is there; exactly-once files in append mode."""
+def run(stream: DataFrame, mode: str = "append", base: str | None = None) -> DataFrame:
+    """Run to the end of what is there; exactly-once files in append mode.
+
+    ``base`` is the folder of checkpoint and output: a stream that failed resumes where
+    it was if it is run again with the same one, and a finished one reads new files
+    only.  Without it every run has its own."""
     spark = stream.sparkSession
-    base = f"{shared_folder(spark)}/lodestone/stream-{uuid.uuid4().hex}"
+    base = base or f"{shared_folder(spark)}/lodestone/{spark.sparkContext.applicationId}/stream-{uuid.uuid4().hex}"
     stream.writeStream.outputMode(mode).format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/log").trigger(
         availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/out")

@@ -86,3 +86,19 @@ def test_watermarked_streams_do_not_depend_on_the_files(spark, tmp_path):
     got = S.stream_deduplicated(spark, str(tmp_path)).groupBy("day").agg(F.sum("n").alias("n")).collect()
     days = df.dropDuplicates(["event_id"]).groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).count().collect()
     assert sorted(tuple(r) for r in got) == sorted(tuple(r) for r in days)
+
+
+def test_a_stream_resumes_from_its_checkpoint(spark, tmp_path):
+    rows = lambda a, b: spark.range(a, b).write.mode("append").parquet(str(tmp_path / "in"))
+    rows(0, 5)
+    once = lambda: sorted(r.id for r in E.run(E.read_stream(spark, str(tmp_path / "in")), base=str(tmp_path / "state")).collect())
+    assert once() == list(range(5)) == once()  # nothing is read twice
+    rows(5, 8)
+    assert once() == list(range(8))
+
+
+def test_upsert_keeps_the_greatest_of_repeated_keys(spark):
+    current = spark.createDataFrame([("a", 1, None), ("b", 2, "x")], "k string, n int, s string")
+    changes = spark.createDataFrame([("z", "a", 5), ("y", "a", 7), (None, "c", 1)], "s string, k string, n int")
+    got = {r.k: (r.n, r.s) for r in store.upsert(current, changes, "k").collect()}
+    assert got == {"a": (7, "y"), "b": (2, "x"), "c": (1, None)}
