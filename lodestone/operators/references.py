@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+
 #: White space that may surround an id, as a Java character class.
 _BLANK = r"[\s\u00a0\u1680\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]+"
 _FAR = "9999-12-31 00:00:00"
@@ -72,6 +74,7 @@ def orphans(refs: DataFrame, parents: DataFrame, pieces: int = 256) -> DataFrame
     A key with a large share of all references is spread over salts; its few
     parent rows are repeated per salt.
     """
+    refs = written(refs, "references")  # counted for the hot keys and then merged
     hot = F.broadcast(_hot_keys(refs, pieces))
     child = refs.join(hot, "chunk_id", "left").select(
         "chunk_id",
