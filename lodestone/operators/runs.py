@@ -10,6 +10,7 @@ TASKS = (
     ("claim_audit", r"(?i)\b(audit|verify|validate|check|fact-check)\b.{0,40}\b(claim|statement|assertion)\b"),
     ("comparison", r"(?i)\b(compare|comparison|contrast|difference|different|versus|vs\.?|distinguish)\b"),
     ("literature_review", r"(?i)^\s*(review|survey|synthesize)\b|\b(literature|research)\s+(review|survey|synthesis)\b"),
+    ("answer_audit", r"(?i)\b(audit|verify|validate|check)\b.{0,32}\b(citation|claim|answer|response)\b"),
     ("literature_search", r"(?i)\b(find|search|discover|identify|locate|recommend)\b.{0,48}\b(papers?|literature|articles?|publications?|preprints?)\b"),
 )
 

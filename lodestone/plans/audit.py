@@ -13,6 +13,7 @@ from ..operators.references import normal_id
 from ..session import written
 from ..tables import load
 from .references import _norm
+from .retrieval import NOTICES
 
 
 def _claims(spark, sf_dir):
@@ -86,7 +87,7 @@ def evidence_quality(spark, sf_dir):
     n_words = F.size(F.regexp_extract_all("t", F.lit("[A-Za-z]{2,}"), F.lit(0)))
     low = F.lower("t")
     signs = 1 - F.length(F.regexp_replace("t", "[^A-Za-z0-9一-鿿]", "")) / F.greatest(F.lit(1), F.length("t"))
-    reasons = [P.is_boilerplate(F.col("t")), F.length("t") < 60, low.startswith("table ") | low.startswith("figure "), signs > 0.42, n_words < 8]
+    reasons = [P.has_phrase(F.col("t"), NOTICES), F.length("t") < 60, low.startswith("table ") | low.startswith("figure "), signs > 0.42, n_words < 8]
     bonus = F.when((n_words >= 18) & F.col("t").rlike("[.。;；]"), 18).otherwise(0)
     score = F.greatest(F.lit(0), F.least(F.lit(100), 45 + bonus - 16 * sum(r.cast("int") for r in reasons)))
     hard = reasons[0] | reasons[2] | reasons[3] | (F.length("t") < 40)
@@ -176,7 +177,7 @@ _PO = f"""po AS (SELECT cl.claim_id, CASE WHEN s.flip IS NULL THEN 'uncertain' W
 (SELECT claim_id, bool_or((list_has_any(ct, {_LIST(T.NEGATIONS)}) <> list_has_any(et, {_LIST(T.NEGATIONS)})) AND score >= 0.35 AND ({_OPP})) AS flip FROM sc WHERE score >= 0.14 GROUP BY 1) s ON cl.claim_id = s.claim_id)"""
 _OC = f"oc AS (SELECT claim_id, CASE WHEN {_ANY('coalesce(text, ' + chr(39) * 2 + ')', T.SEVERE_TERMS)} THEN 'severe' WHEN {_ANY('coalesce(text, ' + chr(39) * 2 + ')', T.MILD_TERMS)} THEN 'mild' ELSE 'none' END AS severity FROM cl)"
 _AN = "an AS (SELECT case_id, max(answer) AS answer, max(query) AS query FROM citation_audit_v1_queries GROUP BY 1)"
-_BOIL = " OR ".join(f"contains(low, '{w}')" for w in P.BOILERPLATE)
+_BOIL = " OR ".join(f"contains(low, '{w}')" for w in NOTICES)
 _ALIGN = f"""ex AS (SELECT case_id, CAST(i - 1 AS INTEGER) AS exp_no, e[i].text AS text FROM (SELECT case_id, max(expected_claims) AS e, unnest(range(1, len(max(expected_claims)) + 1)) AS i FROM citation_audit_v1_queries GROUP BY case_id)), {_CL},
 d AS (SELECT ex.case_id, exp_no, claim_id, {{tok}} AS a, {{tok2}} AS b FROM ex JOIN cl ON ex.case_id = cl.case_id)"""
 _PT = "list_distinct(list_filter(regexp_extract_all(lower(coalesce({c}, '')), '[a-z0-9]+'), lambda x: length(x) > 1))"
@@ -199,8 +200,7 @@ ORACLE = {
         regexp_extract_all(coalesce(answer, ''), '[A-Z][A-Za-z-]+ et al\\.?\\s*\\([0-9]{{4}}\\)')), regexp_extract_all(coalesce(answer, ''), '\\([A-Z][A-Za-z-]+,\\s*[0-9]{{4}}\\)')))) AS c FROM an)
         SELECT case_id, array_to_string(c, ';') AS marks FROM c WHERE len(c) > 0""",
     "evidence_quality": f"""WITH {_CH}, t AS (SELECT chunk_id, coalesce(text, '') AS t, lower(coalesce(text, '')) AS low, len(regexp_extract_all(coalesce(text, ''), '[A-Za-z]{{2,}}')) AS nw FROM chx),
-        r AS (SELECT *, ({_BOIL} OR ((contains(low, 'http://') OR contains(low, 'https://')) AND length(low) < 220) OR (starts_with(low, 'table ') AND length(low) < 350)
-        OR (CAST(contains(low, ' et al.') AS INT) + CAST(contains(low, ' proceedings ') AS INT) + CAST(contains(low, ' conference ') AS INT) + CAST(contains(low, 'journal ') AS INT) >= 2 AND length(low) < 700)) AS r1,
+        r AS (SELECT *, ({_BOIL}) AS r1,
         length(t) < 60 AS r2, starts_with(low, 'table ') OR starts_with(low, 'figure ') AS r3, 1 - length(regexp_replace(t, '[^A-Za-z0-9一-鿿]', '', 'g')) / greatest(1, length(t)) > 0.42 AS r4, nw < 8 AS r5 FROM t),
         s AS (SELECT *, greatest(0, least(100, 45 + CASE WHEN nw >= 18 AND regexp_matches(t, '[.。;；]') THEN 18 ELSE 0 END - 16 * (CAST(r1 AS INT) + CAST(r2 AS INT) + CAST(r3 AS INT) + CAST(r4 AS INT) + CAST(r5 AS INT)))) AS score FROM r)
         SELECT chunk_id, CAST(score AS INTEGER) AS score, CASE WHEN r1 OR r3 OR r4 OR length(t) < 40 THEN 'unusable' WHEN score >= 70 THEN 'high' WHEN score >= 48 THEN 'medium' WHEN score >= 30 THEN 'low' ELSE 'unusable' END AS label FROM s""",
