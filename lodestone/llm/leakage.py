@@ -198,7 +198,7 @@ def latent_basis(encoded: DataFrame, weights: np.ndarray, n: int, sample: int =
 
 
 #: Index of the item passages: tables, hyperplanes per table, least sure planes that a query may miss.
-TABLES, PLANES, UNSURE = 6, 14, 3
+TABLES, PLANES, UNSURE = 6, 18, 5
 
 
 def hyperplanes(seed: int = 11) -> np.ndarray:
