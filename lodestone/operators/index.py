@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .corpus import postings
 
-#: Number of parts that the postings of a stored index are split into by their term.
+#: Files that the postings of a stored index are split into.
 PARTS = 32
 VERSION = "sparse-index-1"
 
@@ -38,15 +38,15 @@ def build(texts: DataFrame, key: str, path: str, text: str = "text") -> None:
     """Index ``texts`` (key, text) and store it under ``path``, replacing what is there.
     Texts without a token, and null keys, are not in it."""
     index = of_postings(postings(texts.where(F.col(key).isNotNull()), key, text), key)
-    index.postings.withColumn("part", F.pmod(F.xxhash64("term"), F.lit(PARTS))).repartition(PARTS, "part", F.pmod(F.xxhash64(key), F.lit(8))).sortWithinPartitions(
-        "part", "term").write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings")
+    # by term, and a term's postings over eight parts, so that a frequent one fills no task
+    index.postings.repartition(PARTS, F.xxhash64("term"), F.pmod(F.xxhash64(key), F.lit(8))).sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
     index.stats.write.mode("overwrite").parquet(f"{path}/stats")
 
 
 def load(spark: SparkSession, path: str, key: str, strict: bool = False) -> SparseIndex:
     """The index stored under ``path``; with ``strict`` the counters of :func:`faults` are
     taken first and an index with any fault is refused with a ValueError."""
-    index = SparseIndex(key, spark.read.parquet(f"{path}/postings").drop("part"), spark.read.parquet(f"{path}/stats"))
+    index = SparseIndex(key, spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/stats"))
     if strict:
         bad = {r["counter"]: r["n"] for r in faults(index).where("n > 0").collect()}  # seven rows
         if bad:

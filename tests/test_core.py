@@ -188,7 +188,7 @@ def test_stored_index_is_checked(spark, tmp_path):
     X.build(texts, "id", path)
     index = X.load(spark, path, "id", strict=True)
     assert {r.counter: r.n for r in X.faults(index, texts.where("id IN ('a', 'b', 'c')")).where("n > 0").collect()} == {"texts_not_indexed": 1}
-    index.postings.where("term <> 'dense'").withColumn("part", F.lit(0)).write.parquet(str(tmp_path / "bad" / "postings"))
+    index.postings.where("term <> 'dense'").write.parquet(str(tmp_path / "bad" / "postings"))
     index.stats.write.parquet(str(tmp_path / "bad" / "stats"))
     with pytest.raises(ValueError, match="wrong_lengths"):
         X.load(spark, str(tmp_path / "bad"), "id", strict=True)
