@@ -68,3 +68,7 @@ def test_queries_in_blocks_find_the_same(spark):
     index = X.of_postings(C.postings(texts, "id"), "id")
     once, blocks = ({tuple(r) for r in R.bm25(queries, index, k=4, block=b).collect()} for b in (1000, 2))
     assert once == blocks and len(once) == 40
+
+
+def test_self_retrieval_shuffles_no_pairs(spark, tables):
+    assert against_sql(spark, tables, "self_retrieval_hits") < TEXTS * 60 / 2
