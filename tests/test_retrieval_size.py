@@ -72,3 +72,7 @@ def test_queries_in_blocks_find_the_same(spark):
 
 def test_self_retrieval_shuffles_no_pairs(spark, tables):
     assert against_sql(spark, tables, "self_retrieval_hits") < TEXTS * 60 / 2
+
+
+def test_bm25_shuffles_texts_and_terms_only(spark, tables):
+    assert against_sql(spark, tables, "bm25_topk") < TEXTS * 10
