@@ -76,3 +76,23 @@ def test_self_retrieval_shuffles_no_pairs(spark, tables):
 
 def test_bm25_shuffles_texts_and_terms_only(spark, tables):
     assert against_sql(spark, tables, "bm25_topk") < TEXTS * 10
+
+
+def test_index_is_checked_text_by_text(spark, tables):
+    assert against_sql(spark, tables, "index_build_load_search") < TEXTS * 10
+
+
+def test_faults_of_a_stored_index(spark, tmp_path):
+    counters = lambda at: {r.counter: r.n for r in X.faults(X.load(spark, at, "id")).where("n > 0").collect()}
+    texts = spark.createDataFrame([("a", "dense index dense"), ("b", "index list"), ("a", "list")], "id string, text string")
+    path, bad = str(tmp_path / "index"), str(tmp_path / "bad")
+    X.build(texts, "id", path)
+    index = X.load(spark, path, "id", strict=True)
+    assert sorted(tuple(r) for r in index.postings.where("id = 'a'").collect()) == [("dense", "a", 2, 1, 4), ("index", "a", 1, 2, 4), ("list", "a", 1, 2, 4)]
+    for p in ("terms", "stats"):
+        spark.read.parquet(f"{path}/{p}").write.parquet(f"{bad}/{p}")
+    index.texts.write.parquet(f"{bad}/postings")
+    index.texts.where("id = 'b'").write.mode("append").parquet(f"{bad}/postings")  # a part stored twice
+    assert counters(bad) == {"repeated_postings": 2, "wrong_lengths": 1, "wrong_document_frequencies": 2}
+    index.texts.where("id = 'a'").write.mode("overwrite").parquet(f"{bad}/postings")  # a part lost
+    assert counters(bad) == {"wrong_document_frequencies": 2, "wrong_statistics": 1}
