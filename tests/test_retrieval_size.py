@@ -78,6 +78,10 @@ def test_bm25_shuffles_texts_and_terms_only(spark, tables):
     assert against_sql(spark, tables, "bm25_topk") < TEXTS * 10
 
 
+def test_multi_query_shuffles_no_pairs(spark, tables):
+    assert against_sql(spark, tables, "multi_query_rrf") < TEXTS * 20
+
+
 def test_index_is_checked_text_by_text(spark, tables):
     assert against_sql(spark, tables, "index_build_load_search") < TEXTS * 10
 
